@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
-Distinct pieces are put into matrices of equal padded width. In each round every row of a matrix merges its leftmost
+The pattern's matches are encoded apart. Distinct ones are put into matrices of equal padded width. In each round every row of a matrix merges its leftmost
 pair of minimum rank, found through a hash table of all pairs that some token joins; rows are compacted by one place,
 and rows without such a pair leave. Pieces longer than ``LONG`` bytes go through a heap of pairs with the same rule
 instead, as a matrix row costs the square of its length.
@@ -19,9 +19,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import DataFrame
 
-from meshlark.llm.pieces import PieceEncoder, kept
+from meshlark.llm.pieces import UnitEncoder, kept
 from meshlark.llm.scratch import pick
 from meshlark.llm.words import pieces_of
 
@@ -174,10 +175,29 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def encoder(ranks_path: str, pattern: str) -> tuple[ByteBpe, PieceEncoder]:
+class PatternBpe:
+    """Texts to ids: each match of the pattern apart, each distinct match of a call merged once."""
+
+    def __init__(self, bpe: ByteBpe, pattern: str):
+        self.bpe, self.split = bpe, regex.compile(pattern).findall
+
+    def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.split(text) for text in texts]
+        number: dict[str, int] = {}
+        flat = np.array([number.setdefault(p, len(number)) for pieces in found for p in pieces], np.int64)
+        ids, sizes = self.bpe.encode_pieces(list(number))
+        begin = np.cumsum(sizes) - sizes
+        own = sizes[flat]
+        ends = np.cumsum(own)
+        take = np.repeat(begin[flat] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        marks = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
+        return ids[take], np.diff(marks)
+
+
+def encoder(ranks_path: str, pattern: str) -> tuple[ByteBpe, UnitEncoder]:
     def make():
         bpe = ByteBpe(load_ranks(ranks_path))
-        return bpe, PieceEncoder(pattern, bpe.encode_pieces)
+        return bpe, UnitEncoder(PatternBpe(bpe, pattern))
 
     return kept(("byte_bpe", ranks_path, pattern), make)
 

@@ -73,6 +73,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*[flat[f"_in{names.index(old)}"].alias(new) for new, old in columns.items()])
 
 
+#: Catalyst's estimates above this say that it knows no size, as of tables made from local rows.
+UNKNOWN_BYTES = 1 << 55
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes (file sizes at the leaves)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -80,8 +84,8 @@ def input_bytes(df: DataFrame) -> int:
 
 def tasks_for(df: DataFrame, bytes_each: int) -> int:
     """Shuffle partitions so that each gets about ``bytes_each`` of the input, at least the session's own number."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+    size, least = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size > UNKNOWN_BYTES else max(least, -(-size // bytes_each))
 
 
 def text_or_empty(name: str = "text") -> Column:

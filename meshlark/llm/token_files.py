@@ -19,7 +19,8 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.pieces import PieceEncoder, kept
+from meshlark.llm.pieces import UnitEncoder, kept
 from meshlark.llm.scratch import Scratch, pick, tasks_for
 from meshlark.llm.words import pieces_of
 
@@ -80,9 +81,8 @@ def mapped(path: str, kind, offset: int = 0, count: int | None = None) -> np.nda
 class LibraryEncoder:
     """Ids that ``tokenizers`` gives whole texts.
 
-    Where the tokenizer splits by the byte-level pattern before its merges, merges cannot cross a split; then each
-    distinct piece goes through the library once for a worker and texts are put together from the pieces' ids. The
-    tokenizer's added tokens are cut out first, as the library does. Any other tokenizer gets whole texts.
+    Where the tokenizer splits by the byte-level pattern before its merges, texts go through the library in units that
+    no merge can cross, each distinct unit once for a worker (see ``pieces``). Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -92,44 +92,54 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        before = settings.get("pre_tokenizer") or {}
-        added = settings.get("added_tokens") or []
-        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
-        self.pieces = None
-        if plain and settings.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-            from public_tokenizers import PATTERN
-
-            self.pieces = PieceEncoder(PATTERN, self._encode_pieces)
-            self.cut = [t["content"] for t in added if not (special_as_text and t["special"])]
-            self.find = self.pieces.split
-            if self.cut:
-                self.pieces.split = self._split
-
-    def _split(self, text: str) -> list[str]:
-        if not any(c in text for c in self.cut):
-            return self.find(text)
-        import regex
-
-        out = []
-        for part in regex.split("(" + "|".join(map(regex.escape, sorted(self.cut, key=len, reverse=True))) + ")", text):
-            out += [part] if part in self.cut else self.find(part)
-        return out
-
-    def _encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = [], []
-        for i in range(0, len(pieces), 4096):
-            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False):
-                ids += (own := e.ids)
-                sizes.append(len(own))
-        return np.array(ids, np.uint32), np.array(sizes, np.int64)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.pieces is not None:
-            return self.pieces.encode(texts)
-        found = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 32], add_special_tokens=False)]
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], np.int64)
+        settings = json.loads(self.tokenizer.to_str())
+        before, added = settings.get("pre_tokenizer") or {}, settings.get("added_tokens") or []
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(map(str.isspace, t["content"])) for t in added)
+        by_units = plain and settings.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.encode = self._encode
+        if by_units:
+            # bytes of each token: byte-level tokens have a character for a byte, added ones are plain text
+            self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.width[i] = len(token)
+            for t in added:
+                self.width[t["id"]] = len(t["content"].encode())
+            self.encode = UnitEncoder(self._encode_units).encode
+
+    def _encode_units(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units that begin with a space and a word go through the library as one text; tokens' bytes tell where each ends."""
+        joined = np.array([u[:1] == " " and len(u) > 1 and not u[1].isspace() for u in units], bool)
+        sizes, parts = np.zeros(len(units), np.int64), {}
+        for at in np.array_split(np.flatnonzero(joined), max(1, int(joined.sum()) // 8192)):
+            own = [units[i] for i in at.tolist()]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in own])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
+            sizes[at] = np.diff(cut, prepend=0)
+            if len(at):
+                parts[int(at[0])] = ids
+        other = np.flatnonzero(~joined)
+        if not len(other):
+            return (np.concatenate(list(parts.values())) if parts else np.zeros(0, np.uint32)), sizes
+        ids, sizes[other] = self._encode([units[i] for i in other.tolist()])
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        rest = np.repeat(~joined, sizes)
+        out[rest] = ids
+        out[~rest] = np.concatenate(list(parts.values())) if parts else np.zeros(0, np.uint32)
+        return out, sizes
+
+    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, low = [], np.zeros(len(texts), np.int64), 0
+        while low < len(texts):  # a few thousand short texts or one long text at once
+            high, n = low, 0
+            while high < len(texts) and high < low + 4096 and n < 1 << 16:
+                n += len(texts[high])
+                high += 1
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False)]
+            sizes[low:high] = list(map(len, found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[low:high].sum())))
+            low = high
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
 
 
 def library_encoder(path: str, special_as_text: bool = False) -> LibraryEncoder:
@@ -151,7 +161,7 @@ class PartWriter:
         self.encoder, self.end_id = encoder, end_id
         self.kind = np.dtype("<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
         self.file = create(self.tokens_path)
-        self.sizes, self.doc_ids = [], []
+        self.sizes, self.doc_ids, self.known = [], [], []
 
     def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -159,18 +169,19 @@ class PartWriter:
             ids, sizes = _with_ends(*self.encoder.encode([x or "" for x in texts.slice(i, j - i).to_pylist()]), self.end_id)
             self.file.write(ids.astype(self.kind).tobytes())
             self.sizes.append(sizes)
-        self.doc_ids.append(doc_ids)
+        if self.index_path:  # copied, as a slice would hold its whole batch in memory
+            self.doc_ids.append(doc_ids.cast(pa.int64()).fill_null(0).to_numpy().copy())
+            self.known.append(pa.compute.is_valid(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8))
 
     def close(self) -> dict:
         self.file.close()
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
         if self.index_path:
-            ids = pa.chunked_array(self.doc_ids).cast(pa.int64()) if self.doc_ids else pa.chunked_array([pa.array([], pa.int64())])
-            known = pa.compute.is_valid(ids).to_numpy().astype(np.uint8)
             with create(self.index_path) as f:
                 f.write(HEADER.pack(MAGIC, self.kind.itemsize, len(sizes), int(offsets[-1])))
-                for x in (offsets, pa.compute.fill_null(ids, 0).to_numpy().astype("<i8"), known):
+                f.write(offsets.tobytes())
+                for x in (*self.doc_ids, *self.known):
                     f.write(x.tobytes())
         return {"part": self.part, "n_docs": len(sizes), "n_ids": int(offsets[-1]), "width": self.kind.itemsize, "tokens_path": self.tokens_path, "index_path": self.index_path}
 
@@ -272,7 +283,6 @@ def write_flat(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_
             if batch.num_rows:
                 writer = writer or PartWriter(folder, library_encoder(tokenizer_path, special_as_text=True), end_id, index=False)
                 writer.add(batch.column("doc_id"), batch.column("text"))
-                writer.doc_ids.clear()
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, writer.part, np.int32)), pa.array(np.arange(n, n + k)), batch.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names)
                 n += k

@@ -84,11 +84,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return run_hashes(_BYTE[self.data], self.starts, self.ends)
 
-    def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start words of all runs of ``k`` words inside one text, and the runs' hashes."""
+    def places(self, k: int) -> np.ndarray:
+        """Words that begin a run of ``k`` words inside one text."""
         last = np.repeat(self.first[1:], self.counts)
-        at = np.flatnonzero(np.arange(k, len(hashes) + k) <= last)
-        return at, run_hashes(hashes, at, at + k)
+        return np.flatnonzero(np.arange(k, len(self.starts) + k) <= last)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
