@@ -114,23 +114,22 @@ def _pattern_key(sources):
     return F.array_join(F.transform(F.array_sort(F.array_distinct(sources)), lambda s: F.concat(F.length(s).cast("string"), F.lit(":"), s)), "|", "0")
 
 
-def mix(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Decides how often each document is used.
-
-    ``source_col`` holds a source or an array of the sources a document belongs to. ``weight_of`` gets all sources in
-    code point order, null last, and returns their weights. The sources share as many words as the table has.
-    Returns doc_id, text_hash, size, sources, source_size, target (sums over the document's sources), copies, taken.
-    """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mixing")
-    rows = pick(df, doc_id=id_col, text=text_col, source=source_col)
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, text, source) with sources, pattern, size, text_hash and draw; nulls in an array stand for the null source."""
     many = rows.schema["source"].dataType.typeName() == "array"
-    sources = F.col("source") if many else F.array("source")
-    sized = rows.select("doc_id", sources.alias("sources"), count_words_udf("text").alias("size"), F.xxhash64("text").alias("text_hash"))
-    # nulls inside the array stand for the null source; array_sort puts them last
-    sized = sized.withColumn("sources", F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string"))))))
-    sized = sized.withColumn("pattern", _pattern_key(F.col("sources"))).withColumn("draw", F.xxhash64("doc_id", "text_hash", F.lit(seed)).bitwiseAND((1 << (LEVEL_BITS * LEVELS)) - 1))
-    sized = scratch.write(sized, "sized")
+    sources = F.coalesce("source", F.array(F.lit(None).cast("string"))) if many else F.array("source")
+    out = rows.withColumn("sources", F.array_sort(F.array_distinct(sources))).withColumn("pattern", _pattern_key(F.col("sources")))
+    out = out.withColumn("size", count_words_udf("text")).withColumn("text_hash", F.xxhash64("text"))
+    return out.withColumn("draw", F.xxhash64("doc_id", "text_hash", F.lit(seed)).bitwiseAND((1 << (LEVEL_BITS * LEVELS)) - 1))
+
+
+def _copies():
+    return F.when(F.col("size") > 0, F.col("whole") + (F.col("draw") < F.col("below")).cast("int")).otherwise(F.lit(0))
+
+
+def _plan(sized: DataFrame, weight_of) -> DataFrame:
+    """A row for each pattern: whole (uses of every document), below (draws under it get one more), source_size, target."""
+    spark = sized.sparkSession
     groups = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()  # a row for each pattern
     groups.sort(key=lambda g: g.pattern)
     names = sorted({s for g in groups for s in g.sources}, key=lambda s: (s is None, s or ""))
@@ -146,13 +145,38 @@ def mix(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_co
         whole, rest = divmod(routed.get(i, 0), g["size"]) if g["size"] else (0, 0)
         plan.append((g.pattern, min(whole, MOST_USES), rest if whole < MOST_USES else 0, sum(size_of[s] for s in g.sources), float(sum(target[s] for s in g.sources))))
     below = _thresholds(sized, {p[0]: p[2] for p in plan if p[2]})
-    table = spark.createDataFrame([(*p[:2], below.get(p[0], 0), *p[3:]) for p in plan] or [], "pattern string, whole int, below long, source_size long, target double")
-    out = sized.join(F.broadcast(table), "pattern")  # a row for each pattern, as on the driver
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("draw") < F.col("below")).cast("int")).otherwise(F.lit(0))
-    out = out.withColumn("copies", copies)
+    return spark.createDataFrame([(*p[:2], below.get(p[0], 0), *p[3:]) for p in plan], "pattern string, whole int, below long, source_size long, target double")
+
+
+def mix(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Decides how often each document is used.
+
+    ``source_col`` holds a source or an array of the sources a document belongs to. ``weight_of`` gets all sources in
+    code point order, null last, and returns their weights. The sources share as many words as the table has.
+    Returns doc_id, text_hash, size, sources, source_size, target (sums over the document's sources), copies, taken.
+    """
+    scratch = Scratch(df.sparkSession, "mixing")
+    sized = _drawn(pick(df, doc_id=id_col, text=text_col, source=source_col), seed)
+    sized = scratch.write(sized.drop("text", "source"), "sized")
+    out = sized.join(F.broadcast(_plan(sized, weight_of)), "pattern").withColumn("copies", _copies())  # a row for each pattern, as on the driver
     return out.select("doc_id", "text_hash", "size", "sources", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def repeat(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixture itself: each row of ``df`` as often as ``mix`` decides, with all its columns; texts are not shuffled."""
+    scratch = Scratch(df.sparkSession, "mixing")
+    rows = pick(df, doc_id=id_col, text=text_col, source=source_col)
+    sized = scratch.write(_drawn(rows, seed).drop("text", "source"), "sized")
+    plan = _plan(sized, weight_of)
+    names = list(df.columns)
+    flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
+    at = {c: f"_in{names.index(old)}" for c, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
+    drawn = _drawn(flat.select(*flat.columns, *[F.col(old).alias(c) for c, old in at.items()]), seed)
+    used = drawn.join(F.broadcast(plan), "pattern").withColumn("copies", _copies())
+    used = used.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).filter("_copy > 0")
+    return used.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)])
+
+
 def _thresholds(sized: DataFrame, rest: dict[str, int]) -> dict[str, int]:
     """For each pattern the hash below which documents have as near ``rest`` words as whole documents allow."""
     low, left, answer = dict.fromkeys(rest, 0), dict(rest), {}

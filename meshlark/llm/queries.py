@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import byte_bpe, jaccard, mixing, sharding, substrings, token_files, toxicity
+from meshlark.llm import byte_bpe, jaccard, mixing, sharding, substrings, token_files, toxicity, vector_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS, seed=20)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,5 +64,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: All pairs of one label by cosine; components by walking links. DuckDB takes seconds for the test tables' labels.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), link AS (
+  SELECT a.r AS r, b.r AS s FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT r, r AS s FROM v
+  UNION
+  SELECT reach.r, link.s FROM reach JOIN link ON reach.s = link.r
+), least AS (
+  SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.s = v.r GROUP BY reach.r
+)
+SELECT v.vec_id AS vec_id, (SELECT count(*) FROM link WHERE link.r = v.r) AS n_links, component_id,
+  coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN least ON v.r = least.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_vector_dedup": OP5_SQL}

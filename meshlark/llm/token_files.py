@@ -329,5 +329,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """Token counts by document: encodes into flat files, finds the end ids in them, and names the documents again."""
     scratch = Scratch(df.sparkSession, "separators")
     written = scratch.write(write_flat(df, tokenizer_path, end_id, scratch.path("parts"), id_col, text_col), "written")
-    counted = separator_scan(written.filter("ordinal < 0").select("part", "tokens_path", "n_ids", "width"), end_id, block_ids)
+    counted = separator_scan(written.filter("ordinal < 0").select("part", "tokens_path", "n_ids", "width"), end_id, block_ids).hint("merge")  # its size is not known before it runs
     return written.filter("ordinal >= 0").select("part", "ordinal", "doc_id").join(counted, ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal", "start")
