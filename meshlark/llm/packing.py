@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +33,6 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(blobs: Sequence[bytes]) -> list[list[np.ndarray]]:
-    """For each place in the blobs the list of that place's arrays."""
-    return [list(x) for x in zip(*map(unpack, blobs), strict=True)]
-
-
 def zigzag(a: np.ndarray) -> np.ndarray:
     a = a.astype(np.int64)
     return ((a << 1) ^ (a >> 63)).view(np.uint64)

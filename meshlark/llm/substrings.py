@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unpack_all, unzigzag, zigzag
+from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unzigzag, zigzag
 from meshlark.llm.scratch import Scratch, pick, tasks_for
 from meshlark.llm.words import Words, run_hashes, scan
 
@@ -167,7 +167,7 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         groups, n = shared.value, 0
         for batch in batches:
             doc_ids, tags = batch.column("doc_id").fill_null(LAST).to_numpy(), batch.column("tag").to_numpy()
-            for i, j, words in scan(batch.column("text"), most=8 << 20):
+            for i, j, words in scan(batch.column("text")):
                 blobs, settled = _leaves(words, doc_ids[i:j], tags[i:j], groups, min_words)
                 if settled:
                     n += 1
@@ -175,21 +175,25 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[[g for g, _ in blobs]] if blobs else np.zeros(0, np.int32)), pa.array([b for _, b in blobs], pa.binary())], ["part", "leaves"])
 
     def collect(batches):
-        parts, done = [], []
+        docs, tags, counts, gaps, wholes = [], [], [], [], []
         for batch in batches:
             for blob in batch.column("leaves").to_pylist():
-                arrays = unpack(blob)
-                (done if arrays[0][0] else parts).append(arrays[1:])
-        for doc, tag, own, begin, end in done:
-            yield _range_rows(unzigzag(doc), tag.astype(np.int64), own.astype(np.int64), begin, end)
-        if not parts:
+                settled, doc, tag, *rest = unpack(blob)
+                if settled[0]:
+                    own, begin, end = rest
+                    yield _range_rows(unzigzag(doc), tag.astype(np.int64), own.astype(np.int64), begin, end)
+                    continue
+                docs.append(unzigzag(doc)), tags.append(tag.astype(np.int64))
+                for kept, x in zip((counts, gaps, wholes), (rest[0].astype(np.uint32), rest[1].astype(np.uint32), rest[2]), strict=True):
+                    kept.append(x)
+        if not docs:
             return
-        doc, tag, count, gap, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        doc, tag, count = unzigzag(doc), tag.astype(np.int64), count.astype(np.int64)
+        doc, tag, count, gap, whole = np.concatenate(docs), np.concatenate(tags), np.concatenate(counts).astype(np.int64), np.concatenate(gaps), np.concatenate(wholes)
+        del docs, tags, counts, gaps, wholes
         order = np.argsort(whole)
         sorted_ = whole[order]
         same = sorted_[1:] == sorted_[:-1]
+        del sorted_
         deep = np.zeros(len(order), bool)
         deep[1:] |= same
         deep[:-1] |= same
@@ -198,7 +202,7 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             return
         ends = np.cumsum(count)
         row = np.searchsorted(ends, order, "right")
-        total = np.cumsum(gap.astype(np.int64))
+        total = np.cumsum(gap, dtype=np.int64)
         before = np.concatenate([[0], total[ends[:-1] - 1]])
         inner = total[order] - before[row]
         node = np.cumsum(np.concatenate([[True], whole[order][1:] != whole[order][:-1]])) - 1

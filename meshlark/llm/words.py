@@ -15,7 +15,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BASE, _BLOCK = 0x9E3779B97F4A7C15 | 5, 1 << 20
+_BASE, _BLOCK = 0x9E3779B97F4A7C15 | 5, 1 << 19
 _MASK = (1 << 64) - 1
 
 
@@ -39,8 +39,8 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``values[s:e]`` for each ``s, e``; starts and ends must both ascend."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """A hash of ``values[s:e]`` (looked up in ``of``, if given) for each ``s, e``; starts and ends must both ascend."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -49,7 +49,8 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         high = int(ends[j - 1])
         up, down = _tables(max(high - low + 1, min(len(values), _BLOCK) + 1))
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values[low:high] * up[: high - low], out=total[1:])
+        part = values[low:high] if of is None else of[values[low:high]]
+        np.cumsum(part * up[: high - low], out=total[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
         i = j
@@ -82,7 +83,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return run_hashes(_BYTE[self.data], self.starts, self.ends)
+        return run_hashes(self.data, self.starts, self.ends, _BYTE)
 
     def places(self, k: int) -> np.ndarray:
         """Words that begin a run of ``k`` words inside one text."""
@@ -113,7 +114,7 @@ def pieces_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def scan(column: pa.Array, lower: bool = False, most: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
+def scan(column: pa.Array, lower: bool = False, most: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
     """Goes over the whole texts of an Arrow column a few megabytes at a time."""
     data, offsets = buffers(column)
     for i, j in pieces_of(offsets, most):
