@@ -10,8 +10,9 @@ Classes that meet at an n-gram are candidates. Where up to ``SMALL`` meet, all t
 each with the least class, with the greatest and with its neighbour in the order of size. Once these links are
 verified, components are known, and only pairs that lie in different components yet are compared as well, in blocks. So
 a large group of near copies costs a few pairs for each member, and no link between components is lost. Each candidate
-pair passes a suffix filter (counts of both sets over fixed ranges of the hash space bound their Hamming distance) and
-is verified once, on whole sets.
+pair passes a suffix filter (counts of both sets over fixed ranges of the hash space bound their Hamming distance from
+below) and is verified once, on whole sets. Those are made again for the classes in such pairs only; a bitmap of fixed
+size tells the scan which documents may be among them, so no texts are shuffled.
 
 Results for special input: null and empty texts have no set and link with nothing; fewer words than ``n`` form one gram;
 rows of a null doc_id get their set's size, link with nothing and have no component; rows of one doc_id but different
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 from meshlark.llm.components import components
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack
 from meshlark.llm.scratch import Scratch, pick, tasks_for
-from meshlark.llm.words import Words, mix, run_hashes, scan
+from meshlark.llm.words import Words, buffers, mix, run_hashes, scan
 
 N, PERCENT = 5, 75
 SLOTS, CHUNK = 1 << 20, 1 << 12
 #: Ranges of the hash space whose counts the suffix filter compares.
-RANGES = 16
+RANGE_BITS = 8
+RANGES = 1 << RANGE_BITS
 SMALL = 8
+#: Bits of the map of documents whose sets are made again.
+WANTED_BITS = 1 << 23
 PART_BYTES = 32 << 20
 BLOCK = 512
 
@@ -67,9 +71,11 @@ class Sets:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.grams, 3))])
         self.keys = mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64), 5).view(np.int64)
 
-    def ranges(self) -> np.ndarray:
-        cell = self.row * RANGES + (self.grams >> np.uint64(60)).astype(np.int64)
-        return np.bincount(cell, minlength=len(self.sizes) * RANGES).reshape(-1, RANGES)
+    def ranges(self) -> pa.Array:
+        """A byte for each range and set; counts are cut at 255, which can only lower a distance."""
+        cell = self.row * RANGES + (self.grams >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+        counts = np.minimum(np.bincount(cell, minlength=len(self.sizes) * RANGES), 255).astype(np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(self.sizes), [None, pa.py_buffer(np.arange(0, len(counts) + 1, RANGES, np.int32)), pa.py_buffer(counts)])
 
     def slots(self) -> np.ndarray:
         return (self.grams & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -85,15 +91,13 @@ def _profile(rows: DataFrame, n: int) -> DataFrame:
                 sets = Sets(words, n)
                 total += np.bincount(sets.slots(), minlength=SLOTS)
                 k = j - i
-                flat = pa.array(sets.ranges().ravel().astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * RANGES, RANGES, np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), sets.ranges(), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         counts = count_rows(total, CHUNK)
         k = counts.num_rows
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), *counts.columns], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *counts.columns], names)
 
     names = ["doc_id", "n", "key", "ranges", "chunk", "counts"]
-    return rows.mapInArrow(run, "doc_id long, n long, key long, ranges array<int>, chunk int, counts binary")
+    return rows.mapInArrow(run, "doc_id long, n long, key long, ranges binary, chunk int, counts binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -111,6 +115,20 @@ def fits(n1, at1, n2, at2, percent: int) -> np.ndarray:
     return close & (1 + np.minimum(n1 - at1, n2 - at2) - 1 >= least_overlap(n1 + n2, percent))
 
 
+def _range_matrix(column) -> np.ndarray:
+    return buffers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)[0].reshape(-1, RANGES)
+
+
+def near_enough(ranges1: np.ndarray, ranges2: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """The suffix filter: whether the distance that the counts prove leaves room for the needed overlap."""
+    on = np.zeros(len(total), bool)
+    for i in range(0, len(total), 1 << 14):
+        j = i + (1 << 14)
+        apart = np.abs(ranges1[i:j].astype(np.int16) - ranges2[i:j]).sum(1, dtype=np.int64)
+        on[i:j] = apart <= total[i:j] - 2 * least_overlap(total[i:j], percent)
+    return on
+
+
 def _emit(words: Words, known: np.ndarray, seen: set, counts: np.ndarray, n: int, percent: int, partitions: int) -> list[tuple[int, bytes]]:
     """The prefix n-grams of the classes not yet seen in this task, packed by partition."""
     sets = Sets(words, n)
@@ -184,7 +202,7 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFram
         counts = shared.value
         for batch in batches:
             known = pa.compute.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-            for i, j, words in scan(batch.column("text"), lower=True, most=8 << 20):
+            for i, j, words in scan(batch.column("text"), lower=True, most=2 << 20):
                 blobs = _emit(words, known[i:j], seen, counts, n, percent, partitions)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[[p for p, _ in blobs]] if blobs else np.zeros(0, np.int32)), pa.array([b for _, b in blobs], pa.binary())], ["part", "grams"])
 
@@ -225,15 +243,17 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFram
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (gram, a, n, place, component) that meet at a gram but lie in different components."""
+    """Pairs of members (gram, a, n, place, component, ranges) that meet at a gram but lie in different components."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        own = [b for b in batches if b.num_rows]
+        if not own:
             return
+        table = pa.Table.from_batches(own)
+        ranges = _range_matrix(table.column("ranges"))
         gram, a, size, place, comp = (table.column(c).to_numpy() for c in ("gram", "a", "n", "place", "component"))
         order = np.lexsort((a, size, gram))
-        gram, a, size, place, comp = gram[order], a[order], size[order], place[order], comp[order]
+        gram, a, size, place, comp, ranges = gram[order], a[order], size[order], place[order], comp[order], ranges[order]
         first = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
         for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             for i in range(low, high, BLOCK):
@@ -244,8 +264,10 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     on = (comp[x][:, None] != comp[y][None, :]) & (x[:, None] < y[None, :])
                     on &= fits(size[x][:, None], place[x][:, None], size[y][None, :], place[y][None, :], percent)
                     p, q = np.nonzero(on)
-                    if len(p):
-                        one, two = _unique_pairs(a[x[p]], a[y[q]])
+                    p, q = x[p], y[q]
+                    on = near_enough(ranges[p], ranges[q], size[p] + size[q], percent) if len(p) else np.zeros(0, bool)
+                    if on.any():
+                        one, two = _unique_pairs(a[p[on]], a[q[on]])
                         yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
 
     return members.repartition("gram").mapInArrow(run, "a long, b long").distinct()
@@ -255,20 +277,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
     """The pairs of classes whose sets are similar enough; only classes that pass the suffix filter have their sets made."""
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"), F.col("doc").alias(f"doc_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("n_a") + F.col("n_b")
-    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    left = scratch.write(both.filter(apart <= total - 2 * need).select("a", "b", "n_a", "n_b", "doc_a", "doc_b"), "left")
-    wanted = left.select(F.col("doc_a").alias("doc_id")).union(left.select("doc_b")).distinct()
 
-    def run(batches):
+    def suffix(batches):
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            on = near_enough(_range_matrix(batch.column("r_a")), _range_matrix(batch.column("r_b")), total, percent)
+            yield batch.select(["a", "b", "n_a", "n_b", "doc_a", "doc_b"]).filter(pa.array(on))
+
+    left = scratch.write(both.mapInArrow(suffix, "a long, b long, n_a long, n_b long, doc_a long, doc_b long"), "left")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    wanted = left.select(F.col("doc_a").alias("doc_id")).union(left.select("doc_b")).select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("x"))
+    bits = np.zeros(WANTED_BITS // 64, np.int64)
+    for r in wanted.groupBy("w").agg(F.bit_or("x").alias("x")).toLocalIterator():  # at most WANTED_BITS / 64 rows
+        bits[r.w] = r.x
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def make(batches):
+        seen: set = set()
         for batch in batches:
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1) if len(at) else pa.array([], pa.bool_()))
             for _, _, words in scan(batch.column("text"), lower=True):
                 sets = Sets(words, n)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.keys), pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.grams.view(np.int64)))], ["key", "grams"])
+                fresh = np.array([k not in seen and not seen.add(k) for k in sets.keys.tolist()], bool)
+                lists = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.keys), lists], ["key", "grams"]).filter(pa.array(fresh))
 
-    made = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "key long, grams array<long>")
-    made = scratch.write(made.groupBy("key").agg(F.first("grams").alias("grams")), "sets")
+    made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(make, "key long, grams array<long>"), "sets")
     one, two = made.select(F.col("key").alias("a"), F.col("grams").alias("g_a")), made.select(F.col("key").alias("b"), F.col("grams").alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
     compared = left.select("a", "b", "n_a", "n_b").join(one, "a").join(two, "b").withColumn("common", common)
@@ -292,7 +327,8 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     members = met.filter("gram is not null").select("a", "gram", "n", "place").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     members = scratch.write(members, "members")
     mixed = members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("gram")
-    more = scratch.write(_across(members.join(mixed, "gram"), percent).join(pairs, ["a", "b"], "left_anti"), "more")
+    mixed = members.join(mixed, "gram").join(classes.select(F.col("key").alias("a"), "ranges"), "a")
+    more = scratch.write(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.union(_verified(more, classes, rows, n, percent, scratch))
         found = scratch.write(components(links, scratch), "components")
