@@ -206,7 +206,7 @@ def _coded(column: pa.Array, ranks_path: str, pattern: str, decode: bool) -> Ite
     """Ids and decoded bytes for each text of an Arrow column, some megabytes of text at a time."""
     bpe, pieces = encoder(ranks_path, pattern)
     offsets = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    for i, j in pieces_of(offsets, 2 << 20):
+    for i, j in pieces_of(offsets, 1 << 20):
         ids, counts = pieces.encode([x or "" for x in column.slice(i, j - i).to_pylist()])
         at = 0
         for n in counts.tolist():

@@ -165,7 +165,7 @@ class PartWriter:
 
     def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        for i, j in pieces_of(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 2 << 20):
+        for i, j in pieces_of(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 1 << 20):
             ids, sizes = _with_ends(*self.encoder.encode([x or "" for x in texts.slice(i, j - i).to_pylist()]), self.end_id)
             self.file.write(ids.astype(self.kind).tobytes())
             self.sizes.append(sizes)

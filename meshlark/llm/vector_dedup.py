@@ -115,9 +115,10 @@ def _count(members: DataFrame, threshold: float) -> DataFrame:
     dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vector")
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        own = [b for b in batches if b.num_rows]
+        if not own:
             return
+        table = pa.Table.from_batches(own)
         keys = np.stack([table.column(c).to_numpy() for c in ("component", "i", "j")])
         cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
         for low, high in zip(cut[:-1], cut[1:], strict=True):
