@@ -76,13 +76,15 @@ class Groups:
         self.spread = np.ones(counts.shape, np.int64)
         self.settled = counts <= most
         self.settled[-1] = True
-        self.spread[-1] = np.maximum(1, -(-counts[-1] // most))
-        # groups fill partitions in turn, largest first to the emptiest by a heap would need all groups on one list;
-        # running sums do as well here since no group exceeds an eighth of a partition
-        size = np.where(self.settled, counts, 0).astype(np.float64)
-        # suffixes settled at a shorter prefix do not reach the longer ones' slots; their counts only pad these
+        self.spread[-1] = np.maximum(1, counts[-1] // (8 * most))
+        # Counts of longer prefixes include suffixes that a shorter one has settled; as slots mix many prefixes, the
+        # share that is left is taken as equal for all slots of a length. Groups then fill partitions in turn.
+        size, left, total = np.zeros(counts.shape), 1.0, max(1.0, float(counts[0].sum()))
+        for k in range(len(counts)):
+            size[k] = np.where(self.settled[k], counts[k] * left, 0)
+            left *= 1 - float(counts[k][self.settled[k]].sum()) / total
         begin = np.concatenate([[0.0], np.cumsum(size.ravel())[:-1]])
-        self.first = (begin * partitions / max(1.0, size.sum())).astype(np.int64).reshape(counts.shape)
+        self.first = np.minimum(partitions - 1, begin * partitions / max(1.0, size.sum())).astype(np.int64).reshape(counts.shape)
 
     def of(self, hashes: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(at), np.int64), np.arange(len(at))
