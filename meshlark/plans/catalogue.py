@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from meshlark.plans import spatial_queries  # noqa: F401
+from meshlark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
