@@ -242,8 +242,24 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFram
     return packed.mapInArrow(meet, "a long, b long, gram long, n long, place long")
 
 
+def _earlier_matrix(lists: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """A row for each of the lists at ``at``, a column for each value that two of them hold: 1 where a list holds it."""
+    own = lists.take(pa.array(at)).combine_chunks()
+    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+    size = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, code, count = np.unique(own.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    column = (np.cumsum(count > 1) - 1)[code]
+    out = np.zeros((len(at), int((count > 1).sum())), np.float32)
+    out[np.repeat(np.arange(len(at)), size)[shared], column[shared]] = 1
+    return out
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (gram, a, n, place, component, ranges) that meet at a gram but lie in different components."""
+    """Pairs of members (gram, a, n, place, component, ranges, earlier) that meet but lie in different components.
+
+    A pair is made at the first gram that both hold: ``earlier`` has a member's grams before this one.
+    """
 
     def run(batches):
         own = [b for b in batches if b.num_rows]
@@ -256,6 +272,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         gram, a, size, place, comp, ranges = gram[order], a[order], size[order], place[order], comp[order], ranges[order]
         first = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
         for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            before = _earlier_matrix(table.column("earlier"), order[low:high])
             for i in range(low, high, BLOCK):
                 x = np.arange(i, min(high, i + BLOCK))
                 stop = i + int(np.searchsorted(percent * size[i:high], 100 * size[x[-1]], "right"))  # none above is of fitting size
@@ -263,6 +280,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     y = np.arange(j, min(stop, j + BLOCK))
                     on = (comp[x][:, None] != comp[y][None, :]) & (x[:, None] < y[None, :])
                     on &= fits(size[x][:, None], place[x][:, None], size[y][None, :], place[y][None, :], percent)
+                    if before.shape[1]:
+                        on &= before[x - low] @ before[y - low].T == 0
                     p, q = np.nonzero(on)
                     p, q = x[p], y[q]
                     on = near_enough(ranges[p], ranges[q], size[p] + size[q], percent) if len(p) else np.zeros(0, bool)
@@ -307,7 +326,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
     one, two = made.select(F.col("key").alias("a"), F.col("grams").alias("g_a")), made.select(F.col("key").alias("b"), F.col("grams").alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
     compared = left.select("a", "b", "n_a", "n_b").join(one, "a").join(two, "b").withColumn("common", common)
-    return compared.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    links = compared.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    links = scratch.write(links, "links")
+    scratch.drop(left, made)
+    scratch.free_shuffles()
+    return links
 
 
 def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,12 +345,15 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     met = scratch.write(_meet(rows, counts, n, percent), "met")
     scratch.free_shuffles()
     pairs = scratch.write(met.filter("b is not null").select("a", "b").distinct(), "pairs")
-    links = scratch.write(_verified(pairs, classes, rows, n, percent, scratch), "links")
+    links = _verified(pairs, classes, rows, n, percent, scratch)
     found = scratch.write(components(links, scratch), "components")
     members = met.filter("gram is not null").select("a", "gram", "n", "place").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     members = scratch.write(members, "members")
     mixed = members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("gram")
     mixed = members.join(mixed, "gram").join(classes.select(F.col("key").alias("a"), "ranges"), "a")
+    held = members.groupBy("a").agg(F.collect_list(F.struct("place", "gram")).alias("held"))  # part of a class's own prefix
+    earlier = F.transform(F.filter("held", lambda x: x["place"] < F.col("place")), lambda x: x["gram"])
+    mixed = mixed.join(held, "a").withColumn("earlier", earlier).drop("held")
     more = scratch.write(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.union(_verified(more, classes, rows, n, percent, scratch))
