@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unzigzag, zigzag
 from meshlark.llm.scratch import Scratch, pick, tasks_for
-from meshlark.llm.words import Words, run_hashes, scan
+from meshlark.llm.words import Words, mix, run_hashes, scan
 
 MIN_WORDS = 50
 SLOTS, CHUNK = 1 << 13, 1 << 10
 #: Bytes of input text for one group.
 GROUP_BYTES = 32 << 20
+#: Tasks that gather the ranges of documents.
+MOST_GATHERING = 1 << 12
 #: A null doc_id's rank, above all others.
 LAST = np.iinfo(np.int64).max
 #: Bit of a row's tag that says that its doc_id is null; the bits below are of the text's hash.
@@ -113,14 +115,43 @@ def _ranges(row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return row[begin], at[begin], at[end] + length
 
 
-def _range_rows(doc: np.ndarray, tag: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """A row for each marked document: doc_id, tag, packed (begins, ends)."""
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    cut = np.append(first, len(row))
-    blobs = [pack(begin[i:j], end[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    own = row[first]
-    null = tag[own] >= NULL_TAG
-    return pa.RecordBatch.from_arrays([pa.array(doc[own], pa.int64(), mask=null), pa.array(tag[own], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "tag", "ranges"])
+def _dealt(doc: np.ndarray, tag: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Ranges of rows (doc, tag) as blobs for the tasks that gather them by document."""
+    to = (mix(doc.view(np.uint64) ^ mix(tag.astype(np.uint64), 1)) % np.uint64(len(keys))).astype(np.int64)[row]
+    order = np.argsort(to, kind="stable")
+    to, row, begin, end = to[order], row[order], begin[order], end[order]
+    cut = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)) if len(to) else np.zeros(1, np.int64)
+    blobs = []
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        used, own = np.unique(row[i:j], return_inverse=True)
+        blobs.append(pack(zigzag(doc[used]), tag[used], own, begin[i:j], end[i:j]))
+    return pa.RecordBatch.from_arrays([pa.array(keys[to[cut[:-1]]]), pa.array(blobs, pa.binary())], ["part", "ranges"])
+
+
+def _gather(batches):
+    """Disjoint ascending ranges of each document from the blobs of ``_dealt``."""
+    blobs = [unpack(blob) for batch in batches for blob in batch.column("ranges").to_pylist()]
+    if not blobs:
+        return
+    doc, tag, row, begin, end = zip(*blobs, strict=True)
+    row = np.concatenate([r + np.uint64(n) for r, n in zip(row, np.cumsum([0, *map(len, doc)]).tolist(), strict=False)]).astype(np.int64)
+    doc, tag = unzigzag(np.concatenate(doc))[row], np.concatenate(tag).astype(np.int64)[row]
+    begin, end = np.concatenate(begin).astype(np.int64), np.concatenate(end).astype(np.int64)
+    order = np.lexsort((begin, tag, doc))
+    doc, tag, begin, end = doc[order], tag[order], begin[order], end[order]
+    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    row = np.cumsum(first) - 1
+    # running maximum of the ends within a document, by lifting each document above the one before
+    lift = row * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + lift)
+    new = first.copy()
+    new[1:] |= begin[1:] + lift[1:] > far[:-1]
+    at = np.flatnonzero(new)
+    begin, end, row = begin[at], (far - lift)[np.append(at[1:], len(far)) - 1], row[at]
+    offsets = pa.array(np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)).astype(np.int32))
+    doc, tag = doc[first], tag[first]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (begin, end)]
+    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=tag >= NULL_TAG), pa.array(tag), *lists], ["doc_id", "tag", "begins", "ends"])
 
 
 def _leaves(words: Words, doc: np.ndarray, tag: np.ndarray, groups: Groups, min_words: int) -> tuple[list[tuple[int, bytes]], bytes | None]:
@@ -159,10 +190,10 @@ def _leaves(words: Words, doc: np.ndarray, tag: np.ndarray, groups: Groups, min_
 
 
 def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tag, ranges): words of documents (doc_id, tag, text) that repeat a document of smaller doc_id."""
+    """(doc_id, tag, begins, ends): words of documents (doc_id, tag, text) that repeat a document of smaller doc_id."""
     partitions = tasks_for(rows.select("text"), GROUP_BYTES)
     groups = Groups(prefix_counts(rows, min_words), partitions, min_words)
-    keys = partition_keys(partitions)
+    keys, doc_keys = partition_keys(partitions), partition_keys(min(partitions, MOST_GATHERING))
     shared = rows.sparkSession.sparkContext.broadcast(groups)  # SLOTS entries for each prefix length
 
     def emit(batches):
@@ -183,7 +214,7 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 settled, doc, tag, *rest = unpack(blob)
                 if settled[0]:
                     own, begin, end = rest
-                    yield _range_rows(unzigzag(doc), tag.astype(np.int64), own.astype(np.int64), begin, end)
+                    yield _dealt(unzigzag(doc), tag.astype(np.int64), own.astype(np.int64), begin, end, doc_keys)
                     continue
                 docs.append(unzigzag(doc)), tags.append(tag.astype(np.int64))
                 for kept, x in zip((counts, gaps, wholes), (rest[0].astype(np.uint32), rest[1].astype(np.uint32), rest[2]), strict=True):
@@ -214,27 +245,26 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         row, inner = row[hit], inner[hit]
         order = np.lexsort((inner, row))
         row, begin, end = _ranges(row[order], inner[order], min_words)
-        for i in range(0, len(row), 1 << 16):
-            yield _range_rows(doc, tag, row[i : i + (1 << 16)], begin[i : i + (1 << 16)], end[i : i + (1 << 16)])
+        if len(row):
+            yield _dealt(doc, tag, row, begin, end, doc_keys)
 
     leaves = rows.mapInArrow(emit, "part int, leaves binary").repartition(partitions, "part")
-    return leaves.mapInArrow(collect, "doc_id long, tag long, ranges binary")
+    dealt = leaves.mapInArrow(collect, "part int, ranges binary").repartition(len(doc_keys), "part")
+    return dealt.mapInArrow(_gather, "doc_id long, tag long, begins array<int>, ends array<int>")
 
 
-def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+def _cut(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
     """Each text's number of words, number of removed words and kept words joined by a space."""
     n_words, n_removed, kept = [], [], []
-    for text, own in zip(texts.cast(pa.large_binary()), ranges, strict=True):
+    for text, begin, end in zip(texts.cast(pa.large_binary()), begins, ends, strict=True):
         words = (text.as_py() or b"").split()
         n_words.append(len(words))
-        if own.is_valid:
-            gone = np.zeros(len(words) + 1, np.int64)
-            for blob in own.as_py():
-                begin, end = unpack(blob)
-                np.add.at(gone, begin.astype(np.int64), 1)
-                np.add.at(gone, end.astype(np.int64), -1)
-            stay = np.cumsum(gone[:-1]) == 0
-            words = [w for w, on in zip(words, stay.tolist(), strict=True) if on]
+        if begin.is_valid:
+            stay, at = [], 0
+            for low, high in zip(begin.as_py(), end.as_py(), strict=True):
+                stay += words[at:low]
+                at = high
+            words = stay + words[at:]
         n_removed.append(n_words[-1] - len(words))
         kept.append(b" ".join(words))
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
@@ -258,12 +288,12 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag(F.col("text"), F.col("doc_id")).alias("tag"))
     found = scratch.write(repeats(rows, min_words), "ranges")
     scratch.free_shuffles()
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("ranges").alias("_ranges"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
     names = list(df.columns)
     flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
     doc_id, text = flat[f"_in{names.index(id_col)}"].cast("long"), flat[f"_in{names.index(text_col)}"]
     joined = flat.join(found.hint("shuffle_hash"), doc_id.eqNullSafe(F.col("_id")) & (_tag(text, doc_id) == F.col("_tag")), "left")
-    return joined.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)], F.arrow_udf(_cut, CUT)(text, F.col("_ranges")).alias("_cut"))
+    return joined.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)], F.arrow_udf(_cut, CUT)(text, F.col("_begins"), F.col("_ends")).alias("_cut"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
