@@ -6,16 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def grams(s: Column, q: int) -> Column:
-    """All substrings of length ``q`` in order; a shorter string is its own single gram."""
-    many = F.transform(F.sequence(F.lit(1), F.length(s) - q + 1), lambda i: F.substring(s, i, F.lit(q)))
-    return F.when(F.length(s) >= q, many).otherwise(F.array(s))
+#: Substrings are cut from pieces of this many starts: a substring of a long string is found by walking from its begin.
+PIECE = 512
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All substrings of length ``k``; none for shorter strings."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
-    return F.when(F.length(s) >= k, many).otherwise(F.array().cast("array<string>"))
+    """All substrings of length ``k`` in order; none for shorter strings."""
+    starts = F.length(s) - k + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest((F.ceil(starts / PIECE) - 1).cast("int"), F.lit(0))), lambda j: F.substring(s, j * PIECE + 1, F.lit(PIECE + k - 1)))
+    of_piece = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - k + 1), lambda i: F.substring(p, i, F.lit(k)))
+    return F.when(starts > 0, F.flatten(F.transform(pieces, of_piece))).otherwise(F.array().cast("array<string>"))
+
+
+def grams(s: Column, q: int) -> Column:
+    """All substrings of length ``q`` in order; a shorter string is its own single gram."""
+    return F.when(F.length(s) >= q, kmers(s, q)).otherwise(F.array(s))
 
 
 def deletions(s: Column) -> Column:
