@@ -295,7 +295,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of classes whose sets are similar enough; only classes that pass the suffix filter have their sets made."""
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"), F.col("doc").alias(f"doc_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
 
     def suffix(batches):
         for batch in batches:
@@ -325,7 +325,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
     made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(make, "key long, grams array<long>"), "sets")
     one, two = made.select(F.col("key").alias("a"), F.col("grams").alias("g_a")), made.select(F.col("key").alias("b"), F.col("grams").alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
-    compared = left.select("a", "b", "n_a", "n_b").join(one, "a").join(two, "b").withColumn("common", common)
+    # pairs grow with the data, so they are merged, never broadcast
+    compared = left.select("a", "b", "n_a", "n_b").hint("merge").join(one, "a").hint("merge").join(two, "b").withColumn("common", common)
     links = compared.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
     links = scratch.write(links, "links")
     scratch.drop(left, made)
