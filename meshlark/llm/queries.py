@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import byte_bpe, jaccard, mixing, sharding, substrings, token_files, toxicity, vector_dedup
+from meshlark.llm import byte_bpe, images, jaccard, mixing, sharding, substrings, token_files, toxicity, vector_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,13 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each row of ``embeddings`` is drawn as one; near vectors make edited copies."""
+    vectors = table(spark, sf_dir, "embeddings")
+    drawn = vectors.select("vec_id", images.draw_udf("embedding").alias("image"))
+    return images.copies(drawn, "vec_id", "image").withColumnRenamed("id", "vec_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
