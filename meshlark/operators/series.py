@@ -64,20 +64,22 @@ def segments(times: Column, target: float) -> Column:
     return F.aggregate(rest, start, lambda s, t: F.when(t - F.element_at(s, -1) >= target * 0.85, F.concat(s, F.array(t))).otherwise(s))
 
 
+def gop_next(before: int, bits: int, since: int, min_gop: int, max_gop: int, least_bits: int, depth: int) -> tuple[str, bool, int]:
+    """The frame's type, whether it begins a group, and the frames since the last key frame."""
+    since += 1
+    if (bits ^ before).bit_count() >= least_bits and since >= min_gop or since >= max_gop:
+        return "IDR", True, 0
+    return ("B" if since % depth else "P"), False, since
+
+
 def gop_step(frames: Iterable[tuple[int, int]], min_gop: int, max_gop: int, least_bits: int, depth: int) -> list[tuple[int, str, int, int]]:
     """Frame types of (index, 64-bit hash) in order: (index, type, group, frames since the last key frame)."""
-    out, before, since, group = [], None, 0, 0
+    out, before, since, group, kind = [], None, 0, 0, "IDR"
     for index, bits in frames:
-        if before is None:
-            out.append((index, "IDR", group, 0))
-        else:
-            since += 1
-            if (bits ^ before).bit_count() >= least_bits and since >= min_gop or since >= max_gop:
-                since, group = 0, group + 1
-                kind = "IDR"
-            else:
-                kind = "B" if since % depth else "P"
-            out.append((index, kind, group, since))
+        if before is not None:
+            kind, new, since = gop_next(before, bits, since, min_gop, max_gop, least_bits, depth)
+            group += new
+        out.append((index, kind, group, since))
         before = bits
     return out
 
