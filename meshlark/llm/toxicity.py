@@ -78,7 +78,8 @@ class Model:
             text, feature = self.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out.append(np.bincount(text, self.weights[feature], j - i) + self.intercept)
         logits = np.concatenate(out) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-logits))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 300, penalty: float = 0.3) -> Model:
