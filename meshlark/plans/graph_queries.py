@@ -103,10 +103,10 @@ def screened_potential(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(SOURCES + """, c AS (SELECT *, CAST(floor(x / 0.125) AS BIGINT) AS ix, CAST(floor(y / 0.125) AS BIGINT) AS iy FROM p), d AS (SELECT ix, iy, q, x - (ix + 0.5) * 0.125 AS u, y - (iy + 0.5) * 0.125 AS v FROM c)
-SELECT ix, iy, count(*) AS n, round(sum(q), 6) AS re_0, round(sum(q * u), 12) AS re_1, round(sum(q * v), 12) AS im_1, round(sum(q * (u * u - v * v)), 12) AS re_2, round(sum(q * 2 * u * v), 12) AS im_2 FROM d GROUP BY 1, 2""")
+SELECT ix, iy, count(*) AS n, round(sum(q), 6) AS re_0, round(sum(q * u), 13) AS re_1, round(sum(q * v), 13) AS im_1, round(sum(q * (u * u - v * v)), 13) AS re_2, round(sum(q * 2 * u * v), 13) AS im_2 FROM d GROUP BY 1, 2""")
 def multipole_moments(spark: SparkSession, sf: str) -> DataFrame:
     m = fields.multipole_moments(_charges(spark, sf), 0.125, 2)
-    return m.select("ix", "iy", "n", F.round("re_0", 6).alias("re_0"), *[F.round(c, 12).alias(c) for c in ("re_1", "im_1", "re_2", "im_2")])
+    return m.select("ix", "iy", "n", F.round("re_0", 6).alias("re_0"), *[F.round(c, 13).alias(c) for c in ("re_1", "im_1", "re_2", "im_2")])
 
 
 @query("SELECT s_suppkey AS id, true AS within FROM supplier")
