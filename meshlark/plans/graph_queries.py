@@ -83,7 +83,7 @@ def pagerank_personalised(spark: SparkSession, sf: str) -> DataFrame:
     return graph.personalised_pagerank(edges, seeds, 0.15, 6).select("id", F.round("rank", 9).alias("rank"))
 
 
-SOURCES = "WITH p AS (SELECT s_suppkey AS id, s_acctbal / 10000.0 AS x, s_nationkey / 25.0 + s_suppkey % 7 / 200.0 AS y, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE -0.5 END AS q FROM supplier)"
+SOURCES = "WITH p AS (SELECT s_suppkey AS id, s_acctbal / 10000.0 AS x, s_nationkey / 25.0 + s_suppkey % 7 / 200.0 AS y, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE -0.5 END AS DOUBLE) AS q FROM supplier)"
 
 
 def _charges(spark: SparkSession, sf: str) -> DataFrame:

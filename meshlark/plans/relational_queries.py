@@ -99,7 +99,7 @@ def pivot_flags(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnsRenamed({"R": "r", "A": "a", "N": "n"})
 
 
-@query("SELECT c_custkey, CASE WHEN activity = 0 THEN 'none' WHEN activity < 2.5 THEN 'low' WHEN activity < 6 THEN 'normal' ELSE 'high' END AS phenotype, activity FROM (SELECT c_custkey, coalesce(sum(CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.5 ELSE 0.25 END), 0) AS activity FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)")
+@query("SELECT c_custkey, CASE WHEN activity = 0 THEN 'none' WHEN activity < 2.5 THEN 'low' WHEN activity < 6 THEN 'normal' ELSE 'high' END AS phenotype, activity FROM (SELECT c_custkey, coalesce(sum(CASE WHEN o_orderkey IS NULL THEN 0.0::DOUBLE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE WHEN o_orderpriority = '2-HIGH' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 0) AS activity FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)")
 def star_activity_phenotype(spark: SparkSession, sf: str) -> DataFrame:
     score = spark.createDataFrame([("1-URGENT", 1.0), ("2-HIGH", 0.5)], "o_orderpriority string, score double")
     own = table(spark, sf, "orders").join(F.broadcast(score), "o_orderpriority", "left").groupBy("o_custkey").agg(F.sum(F.coalesce("score", F.lit(0.25))).alias("activity"))  # two fixed rows

@@ -111,7 +111,7 @@ def bit_pack_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT CAST(floor(l_extendedprice / 20000.0) AS BIGINT) AS tile, bit_or(CAST(1 AS BIGINT) << CAST(l_quantity AS INT)) AS board,
-  bit_count(bit_or(CAST(1 AS BIGINT) << CAST(l_quantity AS INT))) AS occupied FROM lineitem GROUP BY 1""")
+  CAST(bit_count(bit_or(CAST(1 AS BIGINT) << CAST(l_quantity AS INT))) AS INT) AS occupied FROM lineitem GROUP BY 1""")
 def occupancy_bitboard(spark: SparkSession, sf: str) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("l_quantity").cast("int"))
     out = table(spark, sf, "lineitem").groupBy(cells.cell(F.col("l_extendedprice"), 20000).alias("tile")).agg(F.bit_or(bit).alias("board"))
