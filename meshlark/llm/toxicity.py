@@ -1,8 +1,8 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling (operator 4).
 
-Features are the 3-, 4- and 5-grams of a text's lower-cased UTF-8 bytes, present or absent. Each is scaled by its naive
+Features are the 3-, 5- and 7-grams of a text's lower-cased UTF-8 bytes, present or absent. Each is scaled by its naive
 Bayes log-count ratio on the training rows, and a logistic regression is fitted on the scaled features. An n-gram of up
-to five bytes is its own 64-bit key, so features never collide.
+to seven bytes is its own 64-bit key, so features never collide.
 
 Training takes the rows of smallest seeded hash, at most ``max_train_rows`` of them. The check that scoring a document
 needs is one look-up for each place of its text in a bitmap, then an exact search of the few that pass.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from meshlark.llm.scratch import Scratch, pick
 from meshlark.llm.words import buffers, pieces_of
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 5, 7)
 MAX_TRAIN_ROWS = 6000
 MAX_FEATURES = 30_000
 LEAST_DOCUMENTS, LEAST_Z = 4, 4.0
@@ -41,7 +41,7 @@ def _keys(data: np.ndarray, order: int) -> np.ndarray:
     for k in range(1, order):
         out <<= np.uint64(8)
         out |= data[k : n + k]
-    return out | np.uint64(order << 40)
+    return out | np.uint64(order << 56)
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
