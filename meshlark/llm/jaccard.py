@@ -38,6 +38,8 @@ SLOTS, CHUNK = 1 << 20, 1 << 12
 RANGE_BITS = 8
 RANGES = 1 << RANGE_BITS
 SMALL = 8
+#: Places of a prefix up to which a member carries the grams before; a pair first met beyond may be made more than once.
+LISTED = 512
 #: Bits of the map of documents whose sets are made again.
 WANTED_BITS = 1 << 23
 PART_BYTES = 32 << 20
@@ -354,15 +356,16 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     mixed = members.join(mixed, "gram").join(classes.select(F.col("key").alias("a"), "ranges"), "a")
     held = members.groupBy("a").agg(F.collect_list(F.struct("place", "gram")).alias("held"))  # part of a class's own prefix
     earlier = F.transform(F.filter("held", lambda x: x["place"] < F.col("place")), lambda x: x["gram"])
+    earlier = F.when(F.col("place") < LISTED, earlier).otherwise(F.array().cast("array<bigint>"))
     mixed = mixed.join(held, "a").withColumn("earlier", earlier).drop("held")
     more = scratch.write(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.union(_verified(more, classes, rows, n, percent, scratch))
         found = scratch.write(components(links, scratch), "components")
-    scratch.free_shuffles()
     least = classes.join(found.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("doc").alias("least"))
     of_class = classes.select("key", "doc").join(found.withColumnRenamed("node", "key"), "key", "left").join(least, "component", "left")
     of_class = scratch.write(of_class.select("key", F.coalesce("least", "doc").alias("component_id")), "result")
+    scratch.drop(classes, met, pairs, found, members, more)
     linked = docs.filter("n > 0 and doc_id is not null").join(of_class, "key")
     alone = docs.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key")]

@@ -70,7 +70,7 @@ class Feistel:
         return self._walk(places, back=True)
 
 
-def shard(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 1 << 20) -> DataFrame:
+def shard(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, row_number, place, shard and slot for every row.
 
     Only ids, sizes and checksums are sorted. Each range of the sort numbers its rows from 0; the ranges' bases are
