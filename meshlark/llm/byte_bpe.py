@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from meshlark.llm.pieces import UnitEncoder, kept
-from meshlark.llm.scratch import pick
+from meshlark.llm.scratch import pick, released
 from meshlark.llm.words import pieces_of
 
 WIDTHS = (4, 8, 16, 32, 64, 128, 256)
@@ -227,7 +227,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
 
     rows = pick(df, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

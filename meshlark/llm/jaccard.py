@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm.components import components
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack
-from meshlark.llm.scratch import Scratch, pick, tasks_for
+from meshlark.llm.scratch import Scratch, pick, released, tasks_for
 from meshlark.llm.words import Words, buffers, mix, run_hashes, scan
 
 N, PERCENT = 5, 75
@@ -99,7 +99,7 @@ def _profile(rows: DataFrame, n: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *counts.columns], names)
 
     names = ["doc_id", "n", "key", "ranges", "chunk", "counts"]
-    return rows.mapInArrow(run, "doc_id long, n long, key long, ranges binary, chunk int, counts binary")
+    return rows.mapInArrow(released(run), "doc_id long, n long, key long, ranges binary, chunk int, counts binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -240,8 +240,8 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.nulls(k, pa.int64()), pa.array(gram[large].view(np.int64)), pa.array(size[large]), pa.array(place[large])], names)
 
     names = ["a", "b", "gram", "n", "place"]
-    packed = rows.mapInArrow(emit, "part int, grams binary").repartition(partitions, "part")
-    return packed.mapInArrow(meet, "a long, b long, gram long, n long, place long")
+    packed = rows.mapInArrow(released(emit), "part int, grams binary").repartition(partitions, "part")
+    return packed.mapInArrow(released(meet), "a long, b long, gram long, n long, place long")
 
 
 def _earlier_matrix(lists: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
@@ -291,7 +291,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                         one, two = _unique_pairs(a[p[on]], a[q[on]])
                         yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
 
-    return members.repartition("gram").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("gram").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -324,7 +324,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
                 lists = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(sets.keys), lists], ["key", "grams"]).filter(pa.array(fresh))
 
-    made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(make, "key long, grams array<long>"), "sets")
+    made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(released(make), "key long, grams array<long>"), "sets")
     one, two = made.select(F.col("key").alias("a"), F.col("grams").alias("g_a")), made.select(F.col("key").alias("b"), F.col("grams").alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
     # pairs grow with the data, so they are merged, never broadcast

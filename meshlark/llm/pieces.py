@@ -32,8 +32,8 @@ class _Numbering(dict):
 class UnitEncoder:
     """``encode_new`` gets texts and returns all their ids, concatenated, and each one's number of ids."""
 
-    def __init__(self, encode_new: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_new = encode_new
+    def __init__(self, encode_new: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most: int = KEPT_UNITS):
+        self.encode_new, self.most = encode_new, most
         self.number = _Numbering()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at, self.size, self.odd = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
@@ -58,8 +58,8 @@ class UnitEncoder:
         fresh.clear()
 
     def _forget(self) -> None:
-        """Keeps the units used most often, at most half of ``KEPT_UNITS``."""
-        least = max(2, int(np.sort(self.hits)[-(KEPT_UNITS // 2)]) + 1)
+        """Keeps the units used most often, at most half of ``most``."""
+        least = max(2, int(np.sort(self.hits)[-(self.most // 2)]) + 1)
         keep = np.flatnonzero(self.hits >= least)
         names = list(self.number)
         self.number = _Numbering()
@@ -73,7 +73,7 @@ class UnitEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of ids of each text."""
-        if len(self.number) > KEPT_UNITS:
+        if len(self.number) > self.most:
             self._forget()
         numbers, look = [], self.number.__getitem__
         for text in texts:

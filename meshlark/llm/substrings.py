@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unzigzag, zigzag
-from meshlark.llm.scratch import Scratch, pick, tasks_for
+from meshlark.llm.scratch import Scratch, pick, released, tasks_for
 from meshlark.llm.words import Words, mix, run_hashes, scan
 
 MIN_WORDS = 50
@@ -66,7 +66,7 @@ def prefix_counts(texts: DataFrame, min_words: int) -> np.ndarray:
                     total[k] += np.bincount(_slot(run_hashes(hashes, at, at + length)), minlength=SLOTS)
         yield count_rows(total.ravel(), CHUNK)
 
-    return sum_counts(texts.select("text").mapInArrow(run, COUNTS), len(lengths) * SLOTS, CHUNK).reshape(len(lengths), SLOTS)
+    return sum_counts(texts.select("text").mapInArrow(released(run), COUNTS), len(lengths) * SLOTS, CHUNK).reshape(len(lengths), SLOTS)
 
 
 class Groups:
@@ -248,9 +248,9 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if len(row):
             yield _dealt(doc, tag, row, begin, end, doc_keys)
 
-    leaves = rows.mapInArrow(emit, "part int, leaves binary").repartition(partitions, "part")
-    dealt = leaves.mapInArrow(collect, "part int, ranges binary").repartition(len(doc_keys), "part")
-    return dealt.mapInArrow(_gather, "doc_id long, tag long, begins array<int>, ends array<int>")
+    leaves = rows.mapInArrow(released(emit), "part int, leaves binary").repartition(partitions, "part")
+    dealt = leaves.mapInArrow(released(collect), "part int, ranges binary").repartition(len(doc_keys), "part")
+    return dealt.mapInArrow(released(_gather), "doc_id long, tag long, begins array<int>, ends array<int>")
 
 
 def _cut(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.pieces import UnitEncoder, kept
-from meshlark.llm.scratch import Scratch, pick, tasks_for
+from meshlark.llm.scratch import Scratch, pick, released, tasks_for
 from meshlark.llm.words import pieces_of
 
 MAGIC = b"MLTOKEN1"
 HEADER = struct.Struct("<8sQQQ")
 #: Ids in one block of a separator scan.
 BLOCK_IDS = 4 << 20
+#: Distinct units whose ids a worker keeps: encoding them again costs more here than their memory.
+KEPT_UNITS = 800_000
 #: Bytes of input text for one part.
 PART_BYTES = 64 << 20
 
@@ -104,7 +106,7 @@ class LibraryEncoder:
                 self.width[i] = len(token)
             for t in added:
                 self.width[t["id"]] = len(t["content"].encode())
-            self.encode = UnitEncoder(self._encode_units).encode
+            self.encode = UnitEncoder(self._encode_units, KEPT_UNITS).encode
 
     def _encode_units(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units that begin with a space and a word go through the library as one text; tokens' bytes tell where each ends."""
@@ -204,7 +206,7 @@ def write_indexed(df: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if writer:
             yield pa.RecordBatch.from_pylist([writer.close()], _arrow(MANIFEST))
 
-    return rows.mapInArrow(run, MANIFEST)
+    return rows.mapInArrow(released(run), MANIFEST)
 
 
 def _arrow(ddl: str) -> pa.Schema:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm.scratch import Scratch, pick
+from meshlark.llm.scratch import Scratch, pick, released
 from meshlark.llm.words import buffers, pieces_of
 
 ORDERS = (3, 5, 7)
@@ -155,7 +155,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRA
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.keys.astype(np.int64), -1)), pa.array(np.append(model.weights, model.intercept))], ["key", "weight"])
 
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
-    found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").coalesce(1).mapInArrow(run, "key long, weight double").collect()  # at most MAX_FEATURES rows
+    found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").coalesce(1).mapInArrow(released(run), "key long, weight double").collect()  # at most MAX_FEATURES rows
     scratch.close()
     keys, weights = np.array([r.key for r in found], np.int64), np.array([r.weight for r in found])
     inner = keys >= 0
