@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.session import stage
-
-
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
+from meshlark.session import stage, workspace
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -23,7 +15,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over edges (src, dst); labels spread and jump until none changes."""
-    folder, n = _folder(nodes), 0
+    folder, n = workspace(nodes.sparkSession, "graph"), 0
     pairs = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     pairs = stage(pairs, f"{folder}/edges")
     labels = stage(nodes.select("id", F.col("id").alias("component")).distinct(), f"{folder}/0")
@@ -41,7 +33,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (src, dst, w) of a minimum spanning forest: each round every component takes its least edge, ties by ids."""
-    folder, n = _folder(nodes), 0
+    folder, n = workspace(nodes.sparkSession, "graph"), 0
     ordered = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src != dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
     ordered = stage(ordered, f"{folder}/edges")
     chosen = stage(ordered.limit(0), f"{folder}/none")
@@ -60,7 +52,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, id, dist) over directed edges (src, dst, w >= 0) from each source id, relaxed until nothing shortens."""
-    folder, n = _folder(edges), 0
+    folder, n = workspace(edges.sparkSession, "graph"), 0
     links = stage(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), f"{folder}/edges")
     best = stage(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist")), f"{folder}/0")
     front = best
@@ -78,7 +70,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float, roun
     """(id, rank) of an undirected weighted graph after ``rounds`` of p = alpha s + (1 - alpha) A D^-1 p; sums to 1."""
     links = both_ways(edges).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     degree = links.groupBy("src").agg(F.sum("w").alias("degree"))
-    moves = stage(links.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), f"{_folder(edges)}/moves")
+    moves = stage(links.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), f"{workspace(edges.sparkSession, "graph")}/moves")
     total = seeds.agg(F.sum("s")).first()[0]
     start = seeds.select("id", (F.col("s") / F.lit(total)).alias("s"))
     rank = start.select("id", F.col("s").alias("rank"))

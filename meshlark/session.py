@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; it goes when the driver ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def remove() -> None:
+        context = spark.sparkContext
+        if context._jsc is not None:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back, to cut the lineage of an iteration."""
     df.write.mode("overwrite").parquet(path)
@@ -35,8 +52,3 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def one_row(df: DataFrame):
-    """The single row of a global aggregate, for bounds and convergence tests."""
-    return df.agg(*[F.first(c).alias(c) for c in df.columns]).first()
