@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,8 @@ def workspace(spark: SparkSession, name: str) -> str:
         if context._jsc is not None:
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        elif urlparse(path).scheme in ("", "file"):  # the session was stopped; a local folder needs none
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
     atexit.register(remove)
     return path
