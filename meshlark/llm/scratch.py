@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import uuid
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,11 +82,10 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def close(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                self._delete(self.root)
-        except Exception:  # the session has ended already; the folder is then left to the cluster's own clean-up
-            pass
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
+        elif urlparse(self.root).scheme in ("", "file"):  # the session was stopped; a local folder needs none
+            shutil.rmtree(urlparse(self.root).path, ignore_errors=True)
 
 
 def released(run):
