@@ -34,8 +34,11 @@ def folding(seqs: DataFrame, key: str, seq: str, window: int) -> DataFrame:
     """(key, start, pairs) for the windows of each sequence; the recursion is cubic in the window only."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(window))
     parts = seqs.select(key, F.explode(starts).alias("start"), seq).select(key, "start", F.substring(seq, F.col("start") + 1, F.lit(window)).alias("part"))
-    pairs = F.pandas_udf(lambda s: s.map(most_pairs), "int", F.PandasUDFType.SCALAR)
-    return parts.select(key, "start", pairs("part").alias("pairs"))
+
+    def each(part: pd.Series) -> pd.Series:
+        return part.map(most_pairs)
+
+    return parts.select(key, "start", F.pandas_udf(each, "int")("part").alias("pairs"))
 
 
 def biclusters(table: DataFrame, row: str, column: str, weight: str, k: int) -> DataFrame:

@@ -154,5 +154,9 @@ def dtw_distances(df: DataFrame, key: str, order: str, value: str, reference: st
     """Distance of each key's series from the reference key's: the reference is joined once, as one array."""
     arrays = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("xs"))
     base = arrays.filter(F.col(key) == reference).select(F.col("xs").alias("ys"))
-    distance = F.pandas_udf(lambda xs, ys: pd.Series([dtw(x, y) for x, y in zip(xs, ys, strict=True)]), "double", F.PandasUDFType.SCALAR)
+
+    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([dtw(x, y) for x, y in zip(xs, ys, strict=True)])
+
+    distance = F.pandas_udf(each, "double")
     return arrays.crossJoin(F.broadcast(base)).select(key, F.size("xs").alias("n"), distance("xs", "ys").alias("distance"))  # one reference row

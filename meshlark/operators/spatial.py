@@ -34,14 +34,10 @@ def cell_cube(points: DataFrame, sizes: Mapping[str, float], value: Column) -> D
 
 def box_aggregate_cells(points: DataFrame, cube: DataFrame, sizes: Mapping[str, float], box: Mapping[str, tuple[float, float]], value: Column) -> DataFrame:
     """The same as ``box_aggregate``: whole cells inside the box come from the cube, only border cells are scanned."""
-    inner, touching = F.lit(True), F.lit(True)
+    inner, border = F.lit(True), F.lit(False)
     for c, size in sizes.items():
         low, high = box[c]
         inner &= (F.col(f"c_{c}") * size >= low) & ((F.col(f"c_{c}") + 1) * size <= high)
-        touching &= (cells.cell(F.col(c), size) * size < low) | ((cells.cell(F.col(c), size) + 1) * size > high)
-    border = F.lit(False)
-    for c, size in sizes.items():
-        low, high = box[c]
         border |= (cells.cell(F.col(c), size) * size < low) | ((cells.cell(F.col(c), size) + 1) * size > high)
     edge = points.filter(box_filter(box) & border).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     whole = cube.filter(inner).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"))
