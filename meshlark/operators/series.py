@@ -117,6 +117,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, na
     return both.withColumn(name, F.last("_value", ignorenulls=True).over(window)).filter("_side = 1").drop("_side", "_value")
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, time: str, value: str, name: str) -> DataFrame:
+    """For each left row the ``value`` of the key's right row nearest in time, the earlier one on ties."""
+    marked = left.withColumn("_side", F.lit(1)).withColumn("_row", F.lit(None).cast(f"struct<t:{right.schema[time].dataType.simpleString()},v:{right.schema[value].dataType.simpleString()}>"))
+    other = right.select(key, time, F.lit(0).alias("_side"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_row"))
+    window = Window.partitionBy(key).orderBy(time, "_side")
+    both = marked.unionByName(other, allowMissingColumns=True)
+    both = both.withColumn("_a", F.last("_row", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_b", F.first("_row", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))).filter("_side = 1")
+    later = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("_b.t") - F.col(time) < F.col(time) - F.col("_a.t")))
+    return both.withColumn(name, F.when(later, F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_side", "_row", "_a", "_b")
+
+
 def sessions(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """Adds the number of each key's session: a new one after more than ``gap`` seconds."""
     window = Window.partitionBy(key).orderBy(time)

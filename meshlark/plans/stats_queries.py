@@ -174,6 +174,16 @@ def asof_last_view(spark: SparkSession, sf: str) -> DataFrame:
     return series.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "value", "last_view").select("event_id", "user_id", "last_view")
 
 
+@query("""
+WITH p AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+a AS (SELECT p.*, v.t AS ta, v.value AS va FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.t >= v.t), b AS (SELECT p.event_id, v.t AS tb, v.value AS vb FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.t <= v.t)
+SELECT a.event_id, CASE WHEN ta IS NULL OR (tb IS NOT NULL AND tb - t < t - ta) THEN vb ELSE va END AS nearest FROM a JOIN b USING (event_id)""")
+def asof_nearest_view(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    views = e.filter("event_type = 'view'").groupBy("user_id", "t").agg(F.max("value").alias("value"))
+    return series.nearest(e.filter("event_type = 'purchase'").select("event_id", "user_id", "t"), views, "user_id", "t", "value", "nearest").select("event_id", "nearest")
+
+
 _AD = 1.0 / (1.0 + 30.0 / (2.0 * math.pi))
 _TAU = 2.0 * math.pi
 ONE_EURO = f"""
