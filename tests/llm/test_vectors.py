@@ -50,3 +50,30 @@ def test_empty(spark):
 
 def test_passes_grow_slowly():
     assert vector_dedup.passes_for(100) < vector_dedup.passes_for(10**6) < vector_dedup.passes_for(10**9) < 100
+
+
+def test_clustered_label_loses_no_link(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(64)
+    centre *= np.sqrt(19 * 64) / np.linalg.norm(centre)  # mutual cosines about 0.95
+    rows = (centre + rng.standard_normal((12000, 64))).astype(np.float32)
+    planted = rows[:400] + np.float32(0.83) * rng.standard_normal((400, 64)).astype(np.float32)
+    rows = np.concatenate([rows, planted])
+    unit = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1)[:, None]
+    want = {}
+    for i in range(0, len(unit), 1000):
+        near = unit[i : i + 1000] @ unit.T >= 0.98
+        want |= dict(zip(range(i, i + 1000), (near.sum(1) - 1).tolist()))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.dedup(df).select("vec_id", "n_links").collect()}
+    assert sum(n > 0 for n in want.values()) > 200
+    assert got == {i: want[i] for i in range(len(rows))}
+
+
+def test_prefixes_against_counts():
+    rng = np.random.default_rng(2)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 63, 3000), rng.integers(0, 1 << 40, 500), np.full(140, 1 << 50)]))
+    need = vector_dedup.prefix_bits(keys, False, False)
+    for i in range(0, len(keys), 97):
+        shared = [(keys >> (63 - b) == keys[i] >> (63 - b)).sum() if b else len(keys) for b in range(64)]
+        assert need[i] == next((b for b in range(64) if shared[b] <= vector_dedup.WINDOW), 64)
