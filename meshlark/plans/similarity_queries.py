@@ -130,16 +130,23 @@ def minimizers(spark: SparkSession, sf: str) -> DataFrame:
     return sequence.minimizers(dna(spark, sf, "benchmark"), "item_id", "s", 11, 5).select("item_id", "pos", "kmer")
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
+def _hits(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
     refs = sequence.minimizers(dna(spark, sf, "documents"), "doc_id", "s", 15, 8).withColumnRenamed("doc_id", "ref")
     items = sequence.minimizers(dna(spark, sf, "benchmark"), "item_id", "s", 15, 8).withColumnRenamed("item_id", "query")
-    return sequence.seed_hits(refs, items, 50)
+    return sequence.seed_hits(refs, items, most)
 
 
 @query(f"""WITH r AS ({_minimizer_sql('documents', 'doc_id', 15, 8)}), q AS ({_minimizer_sql('benchmark', 'item_id', 15, 8)}),
 rare AS (SELECT kmer FROM r GROUP BY 1 HAVING count(*) <= 50)
 SELECT q.key AS query, r.key AS ref, count(*) AS hits, CAST(min(r.pos) AS INT) AS first FROM q JOIN rare USING (kmer) JOIN r USING (kmer) GROUP BY 1, 2""")
 def minimizer_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of rare seeds, up to 50 places as its SQL states; ``minimizer_hits_all`` has those of all."""
+    return _hits(spark, sf, 50).groupBy("query", "ref").agg(F.count("*").alias("hits"), F.min("ref_pos").alias("first"))
+
+
+@query(f"""WITH r AS ({_minimizer_sql('documents', 'doc_id', 15, 8)}), q AS ({_minimizer_sql('benchmark', 'item_id', 15, 8)})
+SELECT q.key AS query, r.key AS ref, count(*) AS hits, CAST(min(r.pos) AS INT) AS first FROM q JOIN r USING (kmer) GROUP BY 1, 2""")
+def minimizer_hits_all(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).groupBy("query", "ref").agg(F.count("*").alias("hits"), F.min("ref_pos").alias("first"))
 
 

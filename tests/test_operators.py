@@ -135,3 +135,23 @@ def test_pdb_lines(spark):
     ]
     got = pdb.parse(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy("atom_id").collect()
     assert [(r.atom_id, r.atom_name, r.chain, r.res_id, r.x, r.element, r.radius) for r in got] == [(1, "N", "A", 1, 27.34, "N", 1.55), (2, "ZN", "B", 201, -1.0, "ZN", 1.7)]
+
+
+def test_frequent_seeds_keep_their_hits(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "SEED_ROWS", 100)
+    refs = spark.createDataFrame([(i, 3, "ACGT") for i in range(700)] + [(1, 9, "TTTT"), (2, 9, "GGGG")], "ref long, pos int, kmer string")
+    queries = spark.createDataFrame([(1, 5, "ACGT"), (2, 6, "ACGT"), (2, 7, "TTTT"), (3, 1, "CCCC")], "query long, pos int, kmer string")
+    want = sorted([(q, p, i, 3) for q, p in ((1, 5), (2, 6)) for i in range(700)] + [(2, 7, 1, 9)])
+    assert sorted((r.query, r.query_pos, r.ref, r.ref_pos) for r in sequence.seed_hits(refs, queries).collect()) == want
+    assert [tuple(r) for r in sequence.seed_hits(refs, queries, 50).select("query", "query_pos", "ref", "ref_pos").collect()] == [(2, 7, 1, 9)]
+
+
+def test_chains_of_much_copied_passages(spark, tmp_path):
+    from meshlark.plans import similarity_queries
+
+    rnd = random.Random(7)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(120))
+    spark.createDataFrame([(i, passage) for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.ref for r in similarity_queries.chain_anchors(spark, str(tmp_path)).collect()} == set(range(60))
+    assert similarity_queries.minimizer_hits_all(spark, str(tmp_path)).count() == 60
