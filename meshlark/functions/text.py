@@ -29,6 +29,32 @@ def deletions(s: Column) -> Column:
     return F.array_distinct(F.concat(F.array(s), F.when(F.length(s) > 0, one).otherwise(F.array().cast("array<string>"))))
 
 
+def _cut(length: Column, parts: int, i: int) -> tuple[Column, Column]:
+    """Begin (from 0) and length of the ``i``-th of ``parts`` pieces of a word of that length."""
+    begin, end = (F.floor(length * k / parts).cast("int") for k in (i, i + 1))
+    return begin, end - begin
+
+
+def pieces(s: Column, distance: int) -> Column:
+    """(length, number, text) of the ``distance`` + 1 pieces of a word."""
+    n = F.length(s)
+    cut = [(i, *_cut(n, distance + 1, i)) for i in range(distance + 1)]
+    return F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(s, at + 1, size).alias("piece")) for i, at, size in cut])
+
+
+def piece_probes(s: Column, distance: int) -> Column:
+    """The ``pieces`` that words within ``distance`` edits may share with this one: substrings at most as many places away."""
+    shifts = F.sequence(F.lit(-distance), F.lit(distance))
+
+    def probes(n: Column, i: int) -> Column:
+        at, size = _cut(n, distance + 1, i)
+        inside = F.filter(shifts, lambda d: (at + d >= 0) & (at + d + size <= F.length(s)))
+        return F.transform(inside, lambda d: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(s, at + d + 1, size).alias("piece")))
+
+    lengths = F.sequence(F.greatest(F.length(s) - distance, F.lit(0)), F.length(s) + distance)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.concat(*[probes(n, i) for i in range(distance + 1)]))))
+
+
 def as_dna(s: Column) -> Column:
     """Letters mapped to ACGT by their place in the alphabet modulo 4, everything else dropped."""
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import cells, text
-from meshlark.operators import dense, fields, spatial
+from meshlark.operators import dense, fields, similarity, spatial
 from meshlark.plans.graph_queries import SOURCES, _charges
 from meshlark.plans.registry import query
 from meshlark.plans.similarity_queries import DNA, GUIDE, KMERS, dna
@@ -27,13 +27,21 @@ def hamming_one_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH w AS (SELECT DISTINCT p_name AS word FROM part) SELECT a.word AS a, b.word AS b, CAST(CASE WHEN levenshtein(a.word, b.word) <= 3 THEN levenshtein(a.word, b.word) ELSE greatest(length(a.word), length(b.word)) END AS INT) AS distance FROM w a JOIN w b ON a.word < b.word AND substring(a.word, 1, 1) = substring(b.word, 1, 1)")
 def banded_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit distance within a band of three; beyond it the longer length. Pairs share their first letter."""
+    """Edit distance within a band of three; beyond it the longer length. Pairs share their first letter,
+    as in the SQL; ``levenshtein_pairs`` finds all within three edits."""
     w = table(spark, sf, "part").select(F.col("p_name").alias("word")).distinct().withColumn("k", F.substring("word", 1, 1))
     pairs = w.withColumnRenamed("word", "a").join(w.withColumnRenamed("word", "b"), "k").filter("a < b")
     d = F.levenshtein("a", "b", 3)
     return pairs.select("a", "b", F.when(d == -1, F.greatest(F.length("a"), F.length("b"))).otherwise(d).alias("distance"))
 
 
+@query("WITH w AS (SELECT DISTINCT p_name AS word FROM part) SELECT a.word AS a, b.word AS b, CAST(levenshtein(a.word, b.word) AS INT) AS distance FROM w a JOIN w b ON a.word < b.word AND levenshtein(a.word, b.word) <= 3")
+def levenshtein_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs within three edits, whatever their first letters."""
+    w = table(spark, sf, "part").select(F.col("p_name").alias("word")).distinct()
+    return similarity.fuzzy_join(w, w, 3).filter("l_word < r_word").select(F.col("l_word").alias("a"), F.col("r_word").alias("b"), "distance")
+
+
 @query(SOURCES + """, c AS (SELECT *, CAST(floor(x / 0.25) AS BIGINT) AS ix, CAST(floor(y / 0.25) AS BIGINT) AS iy FROM p)
 SELECT ix, iy, count(*) AS n, round(sum(q), 9) AS q, round(sum(q * (x - (ix + 0.5) * 0.25)), 9) + 0.0 AS re_1, round(sum(q * (y - (iy + 0.5) * 0.25)), 9) + 0.0 AS im_1 FROM c GROUP BY 1, 2""")
 def multipole_rollup(spark: SparkSession, sf: str) -> DataFrame:

@@ -74,10 +74,18 @@ def qgram_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,7}')) AS word FROM benchmark)
 SELECT a.word AS l_word, b.word AS r_word, CAST(levenshtein(a.word, b.word) AS INT) AS distance FROM w a JOIN w b ON abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) <= 1""")
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of 4 to 7 letters, as its SQL cuts them; ``fuzzy_words`` compares whole words."""
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,7}"), 0)).alias("word")).distinct()
     return similarity.fuzzy_join(words, words)
 
 
+@query()
+def fuzzy_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole words of any letters and length within two edits."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word")).distinct()
+    return similarity.fuzzy_join(words, words, 2)
+
+
 @query("""
 WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT x.k AS a, y.k AS b, count(*) AS common FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.functions import cells, text
-from meshlark.operators import fields, graph, ordered, sequence, series, spatial, stats
+from meshlark.operators import fields, graph, ordered, sequence, series, similarity, spatial, stats
 from meshlark.plans import catalogue
 from meshlark.sources import pdb
 
@@ -155,3 +155,36 @@ def test_chains_of_much_copied_passages(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r.ref for r in similarity_queries.chain_anchors(spark, str(tmp_path)).collect()} == set(range(60))
     assert similarity_queries.minimizer_hits_all(spark, str(tmp_path)).count() == 60
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("distance", [0, 2, 3])
+def test_fuzzy_join_beyond_one_edit_against_all_pairs(spark, distance):
+    rnd = random.Random(5)
+    words = {"", "a", "ab", "international", "internationals", "xnternatonal", "é", "überall"}
+    while len(words) < 150:
+        w = list(rnd.choice(sorted(words)))
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.randint(0, len(w))
+            w[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "ca"])
+        words.add("".join(w)[:20])
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    got = {(r.l_word, r.r_word): r.distance for r in similarity.fuzzy_join(df, df, distance).collect()}
+    assert got == {(a, b): d for a in words for b in words if (d := edits(a, b)) <= distance}
+
+
+def test_fuzzy_words_are_whole(spark, tmp_path):
+    from meshlark.plans import similarity_queries
+
+    spark.createDataFrame([(1, "International trade, überall so"), (2, "internatoinal uberall to")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.l_word, r.r_word) for r in similarity_queries.fuzzy_words(spark, str(tmp_path)).collect() if r.l_word < r.r_word}
+    assert got == {("international", "internatoinal"), ("uberall", "überall"), ("so", "to")}
