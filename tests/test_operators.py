@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.functions import cells, text
-from meshlark.operators import fields, graph, ordered, sequence, series, similarity, spatial, stats
+from meshlark.operators import fields, graph, ordered, sequence, series, similarity, solvers, spatial, stats
 from meshlark.plans import catalogue
 from meshlark.sources import pdb
 
@@ -188,3 +188,13 @@ def test_fuzzy_words_are_whole(spark, tmp_path):
     spark.createDataFrame([(1, "International trade, überall so"), (2, "internatoinal uberall to")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {(r.l_word, r.r_word) for r in similarity_queries.fuzzy_words(spark, str(tmp_path)).collect() if r.l_word < r.r_word}
     assert got == {("international", "internatoinal"), ("uberall", "überall"), ("so", "to")}
+
+
+def test_power_centrality_takes_every_edge(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "MOST_DENSE", 140)  # the complete graph has more than 64 edges for each node
+    n = 140
+    edges = [(i, j, 1.0) for i in range(n) for j in range(i)]
+    got = solvers.power_centrality(spark.createDataFrame(edges, "src long, dst long, w double")).collect()
+    assert len(got) == n and all(r.centrality == pytest.approx(n / (2 * (n - 1))) for r in got)
+    with pytest.raises(ValueError, match="nodes"):
+        solvers.power_centrality(spark.createDataFrame([*edges, (n, 0, 1.0)], "src long, dst long, w double"))
