@@ -171,7 +171,8 @@ b AS (SELECT {CANON} AS kmer, bit_or(CAST(1 AS BIGINT) << i) AS samples FROM k G
 SELECT CAST(bit_count(samples) AS INT) AS sources, count(*) AS kmers FROM b GROUP BY 1""")
 def cohort_core_accessory(spark: SparkSession, sf: str) -> DataFrame:
     bits = sequence.cohort_bits(dna(spark, sf, "documents"), F.substring("source", 4, 9).cast("int"), "s", 9)
-    return bits.groupBy(F.bit_count("samples").alias("sources")).agg(F.count("*").alias("kmers"))
+    held = bits.groupBy("kmer").agg(F.sum(F.bit_count("samples")).cast("int").alias("sources"))
+    return held.groupBy("sources").agg(F.count("*").alias("kmers"))
 
 
 @query(f"""WITH d AS (SELECT {SOURCE_INDEX} AS i, {DNA} AS s FROM documents), k AS (SELECT i, {KMERS.format(k=12)} AS kmer FROM d),
@@ -184,7 +185,8 @@ def cohort_coverage(spark: SparkSession, sf: str) -> DataFrame:
     bits = sequence.cohort_bits(dna(spark, sf, "documents"), F.substring("source", 4, 9).cast("int"), "s", 12)
     own = dna(spark, sf, "benchmark").select("item_id", F.explode(text.kmers(F.col("s"), 12)).alias("k")).select("item_id", text.canonical(F.col("k")).alias("kmer")).distinct()
     total = own.groupBy("item_id").agg(F.count("*").alias("total"))
-    hits = own.join(bits, "kmer").withColumn("source", F.explode(F.sequence(F.lit(0), F.lit(62)))).filter(F.call_function("shiftright", "samples", F.col("source")).bitwiseAND(1) == 1)
+    hits = own.join(bits, "kmer").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(sequence.WORD - 1)))).filter(F.call_function("shiftright", "samples", F.col("bit")).bitwiseAND(1) == 1)
+    hits = hits.withColumn("source", F.col("word") * sequence.WORD + F.col("bit"))
     out = hits.groupBy("item_id", "source").agg(F.count("*").alias("n")).join(total, "item_id").withColumn("x", F.col("n") / F.col("total"))
     status = F.when(F.col("x") >= 0.95, "full").when(F.col("x") >= 0.5, "partial").otherwise("absent")
     return out.select("item_id", "source", F.round("x", 6).alias("coverage"), status.alias("status"))

@@ -198,3 +198,17 @@ def test_power_centrality_takes_every_edge(spark, monkeypatch):
     assert len(got) == n and all(r.centrality == pytest.approx(n / (2 * (n - 1))) for r in got)
     with pytest.raises(ValueError, match="nodes"):
         solvers.power_centrality(spark.createDataFrame([*edges, (n, 0, 1.0)], "src long, dst long, w double"))
+
+
+def test_cohorts_of_more_sources_than_a_word(spark, tmp_path):
+    from meshlark.plans import similarity_queries
+
+    rnd = random.Random(9)
+    shared = "".join(rnd.choice("abcd") for _ in range(40))
+    sources = [0, 62, 63, 64, 127, 130]
+    spark.createDataFrame([(f"src{i}", shared) for i in sources], "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, shared)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    (r,) = similarity_queries.cohort_core_accessory(spark, str(tmp_path)).collect()
+    assert r.sources == len(sources)
+    got = similarity_queries.cohort_coverage(spark, str(tmp_path)).collect()
+    assert sorted((r.source, r.coverage, r.status) for r in got) == [(i, 1.0, "full") for i in sources]
