@@ -1,8 +1,12 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each task first reduces its own edges to stars by union-find. A step then needs the least neighbour of each node (an
-aggregate with partial sums before the shuffle) and a join that hands it to the node's edges; a node with very many
-edges only makes that join skewed on its streamed side, which adaptive execution splits.
+aggregate with partial sums before the shuffle) and a join that hands it to the node's edges. Nodes that hold more than
+a quarter of a task's even share of the edges are hubs: at most ``HUBS`` a task can exist, so their least neighbours are
+broadcast and their edges stay where they are; all other edges are merged by node, none of which is large.
+
+Results for special input: edges with a null end and edges from a node to itself join nothing and name no node; repeated
+edges and both directions of one count once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -12,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.scratch import Scratch
+from meshlark.llm.scratch import Scratch, pick
 
 EDGES = "a long, b long"
+#: Hubs for each task of a join, at most.
+HUBS = 4
+#: Edges that a node may have without being a hub, however few edges there are.
+FEW = 16
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,22 +51,32 @@ def _local(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``edges`` with the least neighbour ``m`` of their node ``a``; ``least`` holds a, m and the number ``n`` of a's edges."""
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", "m"))  # at most HUBS rows a task, by the choice of ``most``
+    others = least.filter(F.col("n") <= most).select("a", "m")
+    return edges.join(hubs, "a").union(edges.join(hubs.select("a"), "a", "left_anti").hint("merge").join(others, "a"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge; edges hold longs a and b."""
-    stars = scratch.write(edges.select("a", "b").filter("a != b").mapInArrow(_local, EDGES), "stars")
-    seen = None
-    while True:
+    stars = scratch.write(pick(edges, a="a", b="b").filter("a != b").mapInArrow(_local, EDGES), "stars")
+    tasks = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen, count = None, stars.count()
+    while count:
+        most = max(FEW, 2 * count // (HUBS * tasks))
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("b > a"), least, most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = scratch.write(large, "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # every edge of large leads down; each node's other lower neighbours get its least one
-        small = large.join(least, "a").select("a", "b", "m")
+        small = _with_least(large, least, most)
         down = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.write(down.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.drop(stars)
-        stars = new
+        scratch.drop(stars, large)
+        stars, count = new, state[0]
         if state == seen:
             break
         seen = state

@@ -8,11 +8,15 @@ once for a task, packed by target partition.
 
 Classes that meet at an n-gram are candidates. Where up to ``SMALL`` meet, all their pairs are; where more meet, first
 each with the least class, with the greatest and with its neighbour in the order of size. Once these links are
-verified, components are known, and only pairs that lie in different components yet are compared as well, in blocks. So
-a large group of near copies costs a few pairs for each member, and no link between components is lost. Each candidate
-pair passes a suffix filter (counts of both sets over fixed ranges of the hash space bound their Hamming distance from
-below) and is verified once, on whole sets. Those are made again for the classes in such pairs only; a bitmap of fixed
-size tells the scan which documents may be among them, so no texts are shuffled.
+verified, components are known, and only pairs that lie in different components yet are compared as well, in pairs of
+blocks that are dealt over tasks. So a large group of near copies costs a few pairs for each member, no n-gram's
+members meet in one task, and no link between components is lost. Each candidate pair passes a suffix filter (counts of
+both sets over fixed ranges of the hash space bound their Hamming distance from below) and is verified once, on the real
+words of both documents: hashes find candidates but never decide a link. The words are fetched for the classes in such
+pairs only; a bitmap tells the scan which documents may be among them, so only their texts are shuffled.
+
+Equal sets share two 64-bit keys. Should two different sets agree in the first key alone, the join begins again with
+hashes drawn anew.
 
 Results for special input: null and empty texts have no set and link with nothing; fewer words than ``n`` form one gram;
 rows of a null doc_id get their set's size, link with nothing and have no component; rows of one doc_id but different
@@ -28,39 +32,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm.components import components
-from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack
-from meshlark.llm.scratch import Scratch, pick, released, tasks_for
-from meshlark.llm.words import Words, buffers, mix, run_hashes, scan
+from meshlark.llm.packing import count_rows, pack, partition_keys, sum_counts, unpack
+from meshlark.llm.scratch import Scratch, in_block_pairs, input_bytes, pick, released, tasks_for
+from meshlark.llm.words import Words, buffers, mix, scan
 
 N, PERCENT = 5, 75
-SLOTS, CHUNK = 1 << 20, 1 << 12
+#: Slots of the count table: one for so many bytes of text, between these bounds.
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS, CHUNK = 4096, 1 << 20, 1 << 24, 1 << 12
 #: Ranges of the hash space whose counts the suffix filter compares.
 RANGE_BITS = 8
 RANGES = 1 << RANGE_BITS
 SMALL = 8
 #: Places of a prefix up to which a member carries the grams before; a pair first met beyond may be made more than once.
 LISTED = 512
-#: Bits of the map of documents whose sets are made again.
-WANTED_BITS = 1 << 23
+#: Bits of the map of documents whose words are fetched: eight for each class, between these bounds.
+LEAST_WANTED, MOST_WANTED = 1 << 20, 1 << 27
 PART_BYTES = 32 << 20
 BLOCK = 512
+#: Members of a block of one n-gram while it has few blocks, and at most.
+GRAM_BLOCK, MOST_GRAM_BLOCK = 2048, 1 << 13
+#: Draws of the hashes before the join gives up.
+DRAWS = 8
+
+
+def power_of_two(n: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
+
+
+def _spans(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and length of each n-gram, ascending, and its text; fewer words than ``n`` are one gram."""
+    counts, at = words.counts, words.places(n)
+    begin, length = at, np.full(len(at), n)
+    few = np.flatnonzero((counts > 0) & (counts < n))
+    if len(few):
+        begin = np.concatenate([at, words.first[few]])
+        length = np.concatenate([length, counts[few]])
+        order = np.argsort(begin, kind="stable")
+        begin, length = begin[order], length[order]
+    return begin, length, np.searchsorted(words.first, begin, "right") - 1
 
 
 class Sets:
     """The n-gram sets of a few texts: ``grams[first[i]:first[i + 1]]`` ascends and has no repeats."""
 
-    def __init__(self, words: Words, n: int):
-        hashes, counts = words.hashes(), words.counts
-        at = words.places(n)
-        begin, length = at, np.full(len(at), n)
-        few = np.flatnonzero((counts > 0) & (counts < n))
-        if len(few):
-            begin = np.concatenate([at, words.first[few]])
-            length = np.concatenate([length, counts[few]])
-            order = np.argsort(begin, kind="stable")
-            begin, length = begin[order], length[order]
-        grams = run_hashes(hashes, begin, begin + length)
-        row = np.searchsorted(words.first, begin, "right") - 1
+    def __init__(self, words: Words, n: int, seed: int):
+        begin, length, row = _spans(words, n)
+        grams = mix(words.runs(n, seed).of(begin, begin + length))
         first = np.searchsorted(row, np.arange(len(words) + 1))
         for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             grams[i:j].sort()
@@ -69,9 +86,12 @@ class Sets:
         self.grams, self.row = grams[new], row[new]
         self.first = np.searchsorted(self.row, np.arange(len(words) + 1))
         self.sizes = np.diff(self.first)
-        # the class of a set: a sum over its members, so one for equal sets whatever their order
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.grams, 3))])
-        self.keys = mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64), 5).view(np.int64)
+        self.keys, self.checks = self._sum(3), self._sum(13)
+
+    def _sum(self, seed: int) -> np.ndarray:
+        """A key of each set: a sum over its members, so one for equal sets whatever their order."""
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.grams, seed))])
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64), seed + 2).view(np.int64)
 
     def ranges(self) -> pa.Array:
         """A byte for each range and set; counts are cut at 255, which can only lower a distance."""
@@ -79,27 +99,27 @@ class Sets:
         counts = np.minimum(np.bincount(cell, minlength=len(self.sizes) * RANGES), 255).astype(np.uint8)
         return pa.Array.from_buffers(pa.binary(), len(self.sizes), [None, pa.py_buffer(np.arange(0, len(counts) + 1, RANGES, np.int32)), pa.py_buffer(counts)])
 
-    def slots(self) -> np.ndarray:
-        return (self.grams & np.uint64(SLOTS - 1)).astype(np.int64)
+    def slots(self, size: int) -> np.ndarray:
+        return (self.grams & np.uint64(size - 1)).astype(np.int64)
 
 
-def _profile(rows: DataFrame, n: int) -> DataFrame:
-    """Pass over all texts: (doc_id, n, key, ranges) for each row; rows of chunk and counts for the count table."""
+def _profile(rows: DataFrame, n: int, seed: int, slots: int) -> DataFrame:
+    """Pass over all texts: (doc_id, n, key, other, ranges) for each row; rows of chunk and counts for the count table."""
 
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int64)
         for batch in batches:
             for i, j, words in scan(batch.column("text"), lower=True):
-                sets = Sets(words, n)
-                total += np.bincount(sets.slots(), minlength=SLOTS)
+                sets = Sets(words, n, seed)
+                total += np.bincount(sets.slots(slots), minlength=slots)
                 k = j - i
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), sets.ranges(), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), pa.array(sets.checks), sets.ranges(), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         counts = count_rows(total, CHUNK)
         k = counts.num_rows
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *counts.columns], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()), *counts.columns], names)
 
-    names = ["doc_id", "n", "key", "ranges", "chunk", "counts"]
-    return rows.mapInArrow(released(run), "doc_id long, n long, key long, ranges binary, chunk int, counts binary")
+    names = ["doc_id", "n", "key", "other", "ranges", "chunk", "counts"]
+    return rows.mapInArrow(released(run), "doc_id long, n long, key long, other long, ranges binary, chunk int, counts binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -131,15 +151,15 @@ def near_enough(ranges1: np.ndarray, ranges2: np.ndarray, total: np.ndarray, per
     return on
 
 
-def _emit(words: Words, known: np.ndarray, seen: set, counts: np.ndarray, n: int, percent: int, partitions: int) -> list[tuple[int, bytes]]:
+def _emit(words: Words, known: np.ndarray, seen: set, counts: np.ndarray, n: int, percent: int, partitions: int, seed: int) -> list[tuple[int, bytes]]:
     """The prefix n-grams of the classes not yet seen in this task, packed by partition."""
-    sets = Sets(words, n)
+    sets = Sets(words, n, seed)
     fresh = np.zeros(len(known), bool)
     for i, key in enumerate(sets.keys.tolist()):
         if known[i] and sets.sizes[i] and key not in seen:
             seen.add(key)
             fresh[i] = True
-    rank = (np.minimum(counts[sets.slots()], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (sets.grams >> np.uint64(24))
+    rank = (np.minimum(counts[sets.slots(len(counts))], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (sets.grams >> np.uint64(24))
     take, place, keep = [], [], prefix_size(sets.sizes, percent)
     for i in np.flatnonzero(fresh).tolist():
         low, high = sets.first[i], sets.first[i + 1]
@@ -193,11 +213,11 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low[new], high[new]
 
 
-def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int, seed: int) -> DataFrame:
     """Second pass: candidate pairs (a, b) and the members (gram, a, n, place) of groups above ``SMALL``."""
     partitions = tasks_for(rows.select("text"), PART_BYTES)
     keys = partition_keys(partitions)
-    shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))  # SLOTS numbers
+    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))  # MOST_SLOTS numbers at most
 
     def emit(batches):
         seen: set = set()
@@ -205,7 +225,7 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFram
         for batch in batches:
             known = pa.compute.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
             for i, j, words in scan(batch.column("text"), lower=True, most=2 << 20):
-                blobs = _emit(words, known[i:j], seen, counts, n, percent, partitions)
+                blobs = _emit(words, known[i:j], seen, counts, n, percent, partitions, seed)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[[p for p, _ in blobs]] if blobs else np.zeros(0, np.int32)), pa.array([b for _, b in blobs], pa.binary())], ["part", "grams"])
 
     def meet(batches):
@@ -268,34 +288,82 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if not own:
             return
         table = pa.Table.from_batches(own)
+        group = np.stack([table.column(c).to_numpy() for c in ("gram", "i", "j")])
         ranges = _range_matrix(table.column("ranges"))
-        gram, a, size, place, comp = (table.column(c).to_numpy() for c in ("gram", "a", "n", "place", "component"))
-        order = np.lexsort((a, size, gram))
-        gram, a, size, place, comp, ranges = gram[order], a[order], size[order], place[order], comp[order], ranges[order]
-        first = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
-        for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            before = _earlier_matrix(table.column("earlier"), order[low:high])
-            for i in range(low, high, BLOCK):
-                x = np.arange(i, min(high, i + BLOCK))
-                stop = i + int(np.searchsorted(percent * size[i:high], 100 * size[x[-1]], "right"))  # none above is of fitting size
-                for j in range(i, stop, BLOCK):
-                    y = np.arange(j, min(stop, j + BLOCK))
-                    on = (comp[x][:, None] != comp[y][None, :]) & (x[:, None] < y[None, :])
+        block, a, size, place, comp = (table.column(c).to_numpy() for c in ("own", "a", "n", "place", "component"))
+        order = np.lexsort((a, size, *group[::-1]))
+        cut = [0, *(np.flatnonzero((group[:, order[1:]] != group[:, order[:-1]]).any(0)) + 1).tolist(), len(order)]
+        for low, high in zip(cut[:-1], cut[1:], strict=True):
+            part = order[low:high]  # ascends by size
+            _, i, j = group[:, part[0]]
+            left, right = (part, part) if i == j else (part[block[part] == i], part[block[part] == j])
+            for k in range(0, len(left), BLOCK):
+                x = left[k : k + BLOCK]
+                # of fitting size; within one block a pair is made from its earlier side
+                start = k if i == j else int(np.searchsorted(100 * size[right], percent * size[x[0]]))
+                stop = int(np.searchsorted(percent * size[right], 100 * size[x[-1]], "right"))
+                for m in range(start, stop, BLOCK):
+                    y = right[m : min(stop, m + BLOCK)]
+                    on = comp[x][:, None] != comp[y][None, :]
+                    if i == j:
+                        on &= np.arange(k, k + len(x))[:, None] < np.arange(m, m + len(y))[None, :]
                     on &= fits(size[x][:, None], place[x][:, None], size[y][None, :], place[y][None, :], percent)
-                    if before.shape[1]:
-                        on &= before[x - low] @ before[y - low].T == 0
                     p, q = np.nonzero(on)
-                    p, q = x[p], y[q]
-                    on = near_enough(ranges[p], ranges[q], size[p] + size[q], percent) if len(p) else np.zeros(0, bool)
-                    if on.any():
-                        one, two = _unique_pairs(a[p[on]], a[q[on]])
+                    if not len(p):
+                        continue
+                    close = near_enough(ranges[x[p]], ranges[y[q]], size[x[p]] + size[y[q]], percent)
+                    p, q = p[close], q[close]
+                    if len(p):
+                        before = _earlier_matrix(table.column("earlier"), np.concatenate([x, y]))
+                        if before.shape[1]:
+                            new = (before[: len(x)] @ before[len(x) :].T == 0)[p, q]
+                            p, q = p[new], q[new]
+                    if len(p):
+                        one, two = _unique_pairs(a[x[p]], a[y[q]])
                         yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
 
-    return members.repartition("gram").mapInArrow(released(run), "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs of classes whose sets are similar enough; only classes that pass the suffix filter have their sets made."""
+    dealt = in_block_pairs(members, ["gram"], "a", GRAM_BLOCK, MOST_GRAM_BLOCK)
+    return dealt.repartition("gram", "i", "j").mapInArrow(released(run), "a long, b long").distinct()
+
+
+def _words_of(words: Words) -> pa.Array:
+    """The words of each text, a space behind each."""
+    out = np.full(int((words.ends - words.starts + 1).sum()), ord(" "), np.uint8)
+    size = words.ends - words.starts
+    at = np.cumsum(size + 1) - (size + 1)
+    ends = np.cumsum(size)
+    shift = np.repeat(np.arange(len(size)), size)  # a space for each word before
+    out[np.arange(int(ends[-1]) if len(ends) else 0) + shift] = words.data[np.repeat(words.starts - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    offsets = np.append(at, len(out))[words.first].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def exact_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """For texts as ``_words_of`` gives them: each one's distinct n-grams as numbers, equal for equal words only."""
+    data, offsets = buffers(column)
+    words = Words(data, offsets)
+    if not len(words.starts):
+        return [np.zeros(0, np.int64)] * len(words)
+    ends = np.append(words.starts, len(data)).astype(np.int64)
+    code = lambda x: x.dictionary_encode().indices.to_numpy().astype(np.int64)
+    # 0 stands for no word, behind the words of a text with fewer than n
+    word = np.append(code(pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])) + 1, np.zeros(n, np.int64))
+    begin, length, row = _spans(words, n)
+    gram, kinds = word[begin], int(word.max()) + 1
+    for k in range(1, n):
+        if int(gram.max()) >= (1 << 62) // kinds:
+            gram = code(pa.array(gram))
+        gram = gram * kinds + np.where(k < length, word[begin + k], 0)
+    gram = code(pa.array(gram))
+    order = np.lexsort((gram, row))
+    gram, row = gram[order], row[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    return np.split(gram[new], np.searchsorted(row[new], np.arange(1, len(words))))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int, seed: int, wanted_bits: int, scratch: Scratch) -> DataFrame:
+    """The pairs of classes whose sets are similar enough, by their real words; those of pairs that pass the suffix filter are fetched."""
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"), F.col("doc").alias(f"doc_{c}"))
     both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
 
@@ -303,13 +371,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
         for batch in batches:
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             on = near_enough(_range_matrix(batch.column("r_a")), _range_matrix(batch.column("r_b")), total, percent)
-            yield batch.select(["a", "b", "n_a", "n_b", "doc_a", "doc_b"]).filter(pa.array(on))
+            yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(on))
 
-    left = scratch.write(both.mapInArrow(suffix, "a long, b long, n_a long, n_b long, doc_a long, doc_b long"), "left")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    left = scratch.write(both.mapInArrow(suffix, "a long, b long, doc_a long, doc_b long"), "left")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(wanted_bits))
     wanted = left.select(F.col("doc_a").alias("doc_id")).union(left.select("doc_b")).select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("x"))
-    bits = np.zeros(WANTED_BITS // 64, np.int64)
-    for r in wanted.groupBy("w").agg(F.bit_or("x").alias("x")).toLocalIterator():  # at most WANTED_BITS / 64 rows
+    bits = np.zeros(wanted_bits // 64, np.int64)
+    for r in wanted.groupBy("w").agg(F.bit_or("x").alias("x")).toLocalIterator():  # at most MOST_WANTED / 64 rows
         bits[r.w] = r.x
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -319,18 +387,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1) if len(at) else pa.array([], pa.bool_()))
             for _, _, words in scan(batch.column("text"), lower=True):
-                sets = Sets(words, n)
+                sets = Sets(words, n, seed)
                 fresh = np.array([k not in seen and not seen.add(k) for k in sets.keys.tolist()], bool)
-                lists = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sets.keys), lists], ["key", "grams"]).filter(pa.array(fresh))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.keys), _words_of(words)], ["key", "words"]).filter(pa.array(fresh))
 
-    made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(released(make), "key long, grams array<long>"), "sets")
-    one, two = made.select(F.col("key").alias("a"), F.col("grams").alias("g_a")), made.select(F.col("key").alias("b"), F.col("grams").alias("g_b"))
-    common = F.size(F.array_intersect("g_a", "g_b"))
+    def compare(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                texts = pa.concat_arrays([part.column("w_a"), part.column("w_b")]).dictionary_encode()
+                sets, at = exact_sets(texts.dictionary, n), texts.indices.to_numpy().reshape(2, -1).tolist()
+                on = []
+                for x, y in zip(*at, strict=True):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    on.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
+                yield part.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    made = scratch.write(rows.filter("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(released(make), "key long, words binary"), "words")
+    one, two = (made.groupBy(F.col("key").alias(c)).agg(F.first("words").alias(f"w_{c}")) for c in "ab")
     # pairs grow with the data, so they are merged, never broadcast
-    compared = left.select("a", "b", "n_a", "n_b").hint("merge").join(one, "a").hint("merge").join(two, "b").withColumn("common", common)
-    links = compared.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-    links = scratch.write(links, "links")
+    compared = left.select("a", "b").hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "w_a", "w_b")
+    links = scratch.write(compared.mapInArrow(released(compare), "a long, b long"), "links")
     scratch.drop(left, made)
     scratch.free_shuffles()
     return links
@@ -340,15 +417,26 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     """doc_id, n_shingles, component_id and class_key (one for equal sets) for every row."""
     scratch = Scratch(df.sparkSession, "jaccard")
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    profile = scratch.write(_profile(rows, n), "profile")
-    counts = sum_counts(profile.filter("chunk is not null").select("chunk", "counts"), SLOTS, CHUNK)
-    docs = profile.filter("chunk is null").select("doc_id", "n", "key", "ranges")
-    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
-    classes = scratch.write(classes, "classes")
-    met = scratch.write(_meet(rows, counts, n, percent), "met")
+    slots = power_of_two(min(input_bytes(rows), SLOT_BYTES * MOST_SLOTS) // SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS)
+    for seed in range(DRAWS):
+        profile = scratch.write(_profile(rows, n, seed, slots), "profile")
+        docs = profile.filter("chunk is null").select("doc_id", "n", "key", "other", "ranges")
+        classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), (F.min("other") != F.max("other")).alias("mixed"))
+        classes = scratch.write(classes, "classes")
+        if classes.filter("mixed").isEmpty():
+            return _linked(scratch, rows, profile, docs, classes, n, percent, seed, slots)
+        scratch.drop(profile, classes)
+    raise RuntimeError(f"different sets agreed in a 64-bit key in each of {DRAWS} draws")
+
+
+def _linked(scratch: Scratch, rows: DataFrame, profile: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, seed: int, slots: int) -> DataFrame:
+    counts = sum_counts(profile.filter("chunk is not null").select("chunk", "counts"), slots, CHUNK)
+    wanted_bits = power_of_two(8 * classes.count(), LEAST_WANTED, MOST_WANTED)
+    verified = lambda pairs: _verified(pairs, classes, rows, n, percent, seed, wanted_bits, scratch)
+    met = scratch.write(_meet(rows, counts, n, percent, seed), "met")
     scratch.free_shuffles()
     pairs = scratch.write(met.filter("b is not null").select("a", "b").distinct(), "pairs")
-    links = _verified(pairs, classes, rows, n, percent, scratch)
+    links = verified(pairs)
     found = scratch.write(components(links, scratch), "components")
     members = met.filter("gram is not null").select("a", "gram", "n", "place").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     members = scratch.write(members, "members")
@@ -360,7 +448,7 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     mixed = mixed.join(held, "a").withColumn("earlier", earlier).drop("held")
     more = scratch.write(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = links.union(_verified(more, classes, rows, n, percent, scratch))
+        links = links.union(verified(more))
         found = scratch.write(components(links, scratch), "components")
     least = classes.join(found.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("doc").alias("least"))
     of_class = classes.select("key", "doc").join(found.withColumnRenamed("node", "key"), "key", "left").join(least, "component", "left")

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and all tasks run on this machine, as in tests.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir names no folder that the executors of {master} share")
     return (found or LOCAL_DEFAULT).rstrip("/")
 
 
@@ -128,3 +131,19 @@ def tasks_for(df: DataFrame, bytes_each: int) -> int:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Blocks of one group while these need not grow, and rows of a block at most.
+GROUP_BLOCKS, MOST_BLOCK = 32, 1 << 16
+
+
+def in_block_pairs(members: DataFrame, by: list[str], node: str, block: int, most: int = MOST_BLOCK) -> DataFrame:
+    """The members of each group dealt by ``node`` to blocks, once for each pair of blocks (i, j) that holds their block ``own``.
+
+    All pairs of a group meet in some (i, j), and no task needs more than two blocks of it.
+    """
+    n = members.groupBy(*by).agg(F.count("*").alias("_n"))
+    blocks = F.greatest(F.least(F.ceil(F.col("_n") / block), F.lit(GROUP_BLOCKS)), F.ceil(F.col("_n") / most)).cast("int")
+    dealt = members.join(n, by).withColumn("_blocks", blocks).withColumn("own", F.pmod(F.xxhash64(node), "_blocks").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_n", "_blocks", "_other")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unzigzag, zigzag
 from meshlark.llm.scratch import Scratch, pick, released, tasks_for
-from meshlark.llm.words import Words, mix, run_hashes, scan
+from meshlark.llm.words import Runs, Words, mix, scan
 
 MIN_WORDS = 50
 SLOTS, CHUNK = 1 << 13, 1 << 10
@@ -60,10 +60,10 @@ def prefix_counts(texts: DataFrame, min_words: int) -> np.ndarray:
         total = np.zeros((len(lengths), SLOTS), np.int64)
         for batch in batches:
             for _, _, words in scan(batch.column("text")):
-                hashes = words.hashes()
+                runs = words.runs(min_words)
                 at = words.places(min_words)
                 for k, length in enumerate(lengths):
-                    total[k] += np.bincount(_slot(run_hashes(hashes, at, at + length)), minlength=SLOTS)
+                    total[k] += np.bincount(_slot(mix(runs.of(at, at + length))), minlength=SLOTS)
         yield count_rows(total.ravel(), CHUNK)
 
     return sum_counts(texts.select("text").mapInArrow(released(run), COUNTS), len(lengths) * SLOTS, CHUNK).reshape(len(lengths), SLOTS)
@@ -88,11 +88,11 @@ class Groups:
         begin = np.concatenate([[0.0], np.cumsum(size.ravel())[:-1]])
         self.first = np.minimum(partitions - 1, begin * partitions / max(1.0, size.sum())).astype(np.int64).reshape(counts.shape)
 
-    def of(self, hashes: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    def of(self, runs: Runs, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(at), np.int64), np.arange(len(at))
         for k, length in enumerate(self.lengths):
             last = k == len(self.lengths) - 1
-            slot = _slot(whole[todo] if last else run_hashes(hashes, at[todo], at[todo] + length))
+            slot = _slot(whole[todo] if last else mix(runs.of(at[todo], at[todo] + length)))
             done = self.settled[k][slot]
             own = todo[done]
             out[own] = self.first[k][slot[done]]
@@ -156,9 +156,9 @@ def _gather(batches):
 
 def _leaves(words: Words, doc: np.ndarray, tag: np.ndarray, groups: Groups, min_words: int) -> tuple[list[tuple[int, bytes]], bytes | None]:
     """Of one chunk of text: a blob of leaves for each group, and a blob of the ranges settled here."""
-    hashes = words.hashes()
+    runs = words.runs(min_words)
     at = words.places(min_words)
-    whole = run_hashes(hashes, at, at + min_words)
+    whole = mix(runs.of(at, at + min_words))
     row = np.searchsorted(words.first, at, "right") - 1
     inner = at - words.first[row]
     order = np.lexsort((doc[row], whole)) if len(np.unique(whole)) < len(whole) else np.arange(0)
@@ -174,7 +174,7 @@ def _leaves(words: Words, doc: np.ndarray, tag: np.ndarray, groups: Groups, min_
         settled = pack(np.array([1]), zigzag(doc[used]), tag[used], own, begin, end)
     keep = ~marked
     at, whole, row, inner = at[keep], whole[keep], row[keep], inner[keep]
-    group = groups.of(hashes, at, whole)
+    group = groups.of(runs, at, whole)
     order = np.argsort(group.astype(np.uint16 if groups.partitions < 1 << 16 else np.int64), kind="stable")
     group, whole, row, inner = group[order], whole[order], row[order], inner[order]
     cut = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group)) if len(group) else np.zeros(1, np.int64)

@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm.components import components, forest
-from meshlark.llm.scratch import Scratch, pick, tasks_for
+from meshlark.llm.scratch import Scratch, in_block_pairs, pick, tasks_for
 
 THRESHOLD = 0.98
 BITS = 63
 #: Neighbours before a block of the order that the block is compared with, and rows of a block.
 WINDOW, BLOCK = 128, 256
 MISS = 1e-5
-#: Vectors of a block when links are counted, and blocks of one component while these need not grow.
-COUNT_BLOCK, COUNT_BLOCKS, MOST_BLOCK = 32, 32, 1 << 16
+#: Vectors of a block when links are counted, while a component has few blocks.
+COUNT_BLOCK = 32
 #: Vectors of a block of clustered classes while there are few blocks, and rows compared with a block at once.
 DENSE_BLOCK, ROWS = 1024, 256
 
@@ -142,18 +142,9 @@ def _windows(keyed: DataFrame, threshold: float) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long, miss double")
 
 
-def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
-    """The members of each group in blocks, once for each pair of blocks (i, j) that holds their ``own``."""
-    n = members.groupBy(*by).agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(COUNT_BLOCKS)), F.ceil(F.col("n") / MOST_BLOCK)).cast("int")
-    dealt = members.join(n, by).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "blocks", "other")
-
-
 def _dense(members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) among all nodes (label, size, node, vector) of one label and size, as forests of blocks."""
-    dealt = _dealt(members, ["label", "size"], DENSE_BLOCK)
+    dealt = in_block_pairs(members, ["label", "size"], "node", DENSE_BLOCK)
 
     def run(batches):
         own = [b for b in batches if b.num_rows]
@@ -181,7 +172,7 @@ def _dense(members: DataFrame, threshold: float) -> DataFrame:
 
 def _count(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): the summed weights of the nodes that each is linked with, for nodes (component, node, weight, vector)."""
-    dealt = _dealt(members, ["component"], COUNT_BLOCK).select("component", "i", "j", "own", "node", "weight", "vector")
+    dealt = in_block_pairs(members, ["component"], "node", COUNT_BLOCK).select("component", "i", "j", "own", "node", "weight", "vector")
 
     def run(batches):
         own = [b for b in batches if b.num_rows]

@@ -1,7 +1,9 @@
-"""Vectorised scan of whole texts: words, 64-bit word hashes and hashes of runs of words, straight on Arrow buffers.
+"""Vectorised scan of whole texts: words, word hashes and hashes of runs of words, straight on Arrow buffers.
 
-A word is ``[^\\x20\\x09-\\x0D]+``. All hashes are polynomial sums modulo 2**64 over random byte values, finished by a
-bit mixer, so a run of any length costs the same and equal runs always get equal hashes.
+A word is ``[^\\x20\\x09-\\x0D]+``. A hash is a polynomial over the prime 2**61 - 1 at a point drawn from a seed, so
+different sequences of ``n`` items agree with a chance of ``n / 2**61`` whatever they look like; operators that cannot
+live with that compare the words themselves afterwards and draw another point where a comparison fails. A run of any
+length costs the same and equal runs always get equal hashes.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BASE, _BLOCK = 0x9E3779B97F4A7C15 | 5, 1 << 19
+_BLOCK = 1 << 19
 _MASK = (1 << 64) - 1
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -27,34 +31,78 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 7)
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """A hash of ``values[s:e]`` (looked up in ``of``, if given) for each ``s, e``; starts and ends must both ascend."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
-        high = int(ends[j - 1])
-        up, down = _tables(max(high - low + 1, min(len(values), _BLOCK) + 1))
-        total = np.zeros(high - low + 1, np.uint64)
-        part = values[low:high] if of is None else of[values[low:high]]
-        np.cumsum(part * up[: high - low], out=total[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out)
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Any unsigned 64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, through halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduce(np.uint64(2) * (a1 * b1) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``low + high * 2**32`` modulo the prime."""
+    high = _reduce(high)
+    return _reduce(_reduce(low) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the seed's point and of its inverse, at least ``n`` of each."""
+    if seed not in _powers or len(_powers[seed][0]) < n:
+        point = int(mix(np.array([seed], np.uint64), 21)[0]) % (PRIME - (1 << 32)) + (1 << 32)
+        tables = []
+        for x in (point, pow(point, -1, PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:  # doubling: the next stretch is the last one times the power between them
+                out = np.concatenate([out, times(out, np.uint64(pow(x, len(out), PRIME)))])
+            tables.append(out)
+        if len(_powers) > 8:
+            _powers.clear()
+        _powers[seed] = (tables[0], tables[1])
+    return _powers[seed]
+
+
+class Runs:
+    """Prefix sums over a sequence of numbers below the prime; ``of`` gives the hash of any run of up to ``reach`` of them."""
+
+    def __init__(self, values: np.ndarray, reach: int, seed: int = 0):
+        n = len(values)
+        self.up, self.down = _tables(min(n, _BLOCK) + reach + 1, seed)
+        self.at, low, high = [], [], []
+        size = 0
+        for i in range(0, max(n, 1), _BLOCK):
+            part = values[i : i + _BLOCK + reach]
+            if part.dtype == np.uint8 and len(part) <= 1 << 22:  # bytes count from 1, so that no run is a multiple of another
+                part, power = part.astype(np.uint64) + np.uint64(1), self.up[: len(part)]
+                one, two = part * (power & np.uint64(0xFFFFFFFF)), part * (power >> np.uint64(32))
+            else:
+                part = part.astype(np.uint64) + np.uint64(part.dtype == np.uint8)
+                product = times(part, self.up[: len(part)])
+                one, two = product & np.uint64(0xFFFFFFFF), product >> np.uint64(32)
+            for sums, x in ((low, one), (high, two)):
+                total = np.zeros(len(x) + 1, np.uint64)
+                np.cumsum(x, out=total[1:])
+                sums.append(total)
+            self.at.append(size)
+            size += len(part) + 1
+        self.low, self.high = (x[0] if len(x) == 1 else np.concatenate(x) for x in (low, high))
+        self.at = np.array(self.at)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers below the prime, for ``starts[i]:ends[i]``."""
+        block = starts // _BLOCK
+        inner = starts - block * _BLOCK
+        s = self.at[block] + inner
+        e = s + (ends - starts)
+        return times(_joined(self.low[e] - self.low[s], self.high[e] - self.high[s]), self.down[inner])
 
 
 class Words:
@@ -82,8 +130,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return run_hashes(self.data, self.starts, self.ends, _BYTE)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A number below the prime for each word."""
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):  # a block of bytes at a time, or one word if it is longer
+            low = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, low + _BLOCK, "right")))
+            high = int(self.ends[j - 1])
+            out[i:j] = Runs(self.data[low:high], max(0, high - low - _BLOCK), 2 * seed).of(self.starts[i:j] - low, self.ends[i:j] - low)
+            i = j
+        return out
+
+    def runs(self, reach: int, seed: int = 0) -> Runs:
+        """Hashes of runs of up to ``reach`` words."""
+        return Runs(self.hashes(seed), reach, 2 * seed + 1)
 
     def places(self, k: int) -> np.ndarray:
         """Words that begin a run of ``k`` words inside one text."""
