@@ -142,9 +142,9 @@ class Words:
             i = j
         return out
 
-    def runs(self, reach: int, seed: int = 0) -> Runs:
-        """Hashes of runs of up to ``reach`` words."""
-        return Runs(self.hashes(seed), reach, 2 * seed + 1)
+    def runs(self, reach: int, seed: int = 0, hashes: np.ndarray | None = None) -> Runs:
+        """Hashes of runs of up to ``reach`` words; ``hashes`` are those of the words, if they have been made."""
+        return Runs(self.hashes(seed) if hashes is None else hashes, reach, 2 * seed + 1)
 
     def places(self, k: int) -> np.ndarray:
         """Words that begin a run of ``k`` words inside one text."""

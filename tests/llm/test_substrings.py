@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.llm import substrings
+from tests.llm.test_packing_and_words import complementary_words
 
 
 def brute(rows, k):
@@ -66,9 +67,61 @@ def test_real_table(spark):
 
 
 def test_groups_are_split_by_longer_prefixes(spark):
-    df = spark.createDataFrame([(i, "the " * 40 + f"w{i} " + "of " * 30) for i in range(50)], "doc_id long, text string")
+    rows = [(i, "the " * 40 + f"w{i} " + "of " * 30) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     counts = substrings.prefix_counts(df.select("text"), 20)
     groups = substrings.Groups(counts, 16, 20)
     assert not groups.settled[0].all() and counts[0].sum() == counts[-1].sum() == 50 * 52
     got = {r.doc_id: r.kept for r in substrings.dedup(df, min_words=20).select("doc_id", F.col("kept")).collect()}
-    assert got == {i: b[2] for i, b in enumerate(brute([(i, "the " * 40 + f"w{i} " + "of " * 30) for i in range(50)], 20))}
+    assert got == {i: b[2] for i, b in enumerate(brute(rows, 20))}
+
+
+@pytest.mark.parametrize("k,seed", [(6, 3), (15, 4)])
+def test_maximal_repeats(spark, k, seed):
+    rows = [r for r in dict(reversed(random_rows(seed, 200))).items() if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in substrings.maximal_repeats(df, min_words=k).collect()]
+    words, covered = {d: (t or "").split() for d, t in rows}, {}
+    for d, begin, end, source, place in got:
+        length = end - begin
+        assert source < d and length >= k and words[d][begin:end] == words[source][place : place + length]
+        covered.setdefault(d, set()).update(range(begin, end))
+    assert {d: len(x) for d, x in covered.items()} == {r[0]: b[1] for r, b in zip(rows, brute(rows, k), strict=True) if b[1]}
+    # neither a part of another repeat of one source nor two that could be one
+    by = {}
+    for d, begin, end, source, place in got:
+        by.setdefault((d, source, place - begin), []).append((begin, end))
+    assert all(x[1] < y[0] for spans in by.values() for x, y in zip(sorted(spans), sorted(spans)[1:]))
+
+
+def test_words_that_agree_in_plain_polynomial_hashes(spark):
+    one, two = complementary_words()
+    rows = [(1, f"a b {one} c d"), (2, f"a b {two} c d"), (3, f"x a b {two} c d y")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=5).collect()}
+    assert got == {r[0]: b for r, b in zip(rows, brute(rows, 5), strict=True)} and got[2][1] == 0 and got[3][1] == 5
+
+
+def test_fingerprints_are_drawn_anew_where_words_differ(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 2) * 100 + j}" for j in range(30))) for i in range(20)]
+    real, seeds = substrings.repeats, []
+
+    def mistaken(df, min_words, seed):
+        seeds.append(seed)
+        found = real(df, min_words, seed)
+        return found if seed else found.withColumn("repeats", F.transform("repeats", lambda r: r.withField("source", F.lit(4).cast("long"))))
+
+    monkeypatch.setattr(substrings, "repeats", mistaken)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(df, min_words=10).collect()}
+    assert got == {i: 30 * (i % 2) for i in range(20)} and seeds == [0, 1]
+
+
+def test_a_long_text_and_a_passage_in_all_documents(spark):
+    rnd = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(80))
+    long = " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(400_000))
+    rows = [(i, f"{i} {passage} {i}") for i in range(300)] + [(1000, long), (1001, f"y {long[:900_000]} {passage} {long[900_001:]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df).collect()}
+    want = {r[0]: b for r, b in zip(rows, brute(rows, 50), strict=True)}
+    assert got == want and want[1001][1] > 399_000
