@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
-The pattern's matches are encoded apart. Distinct ones are put into matrices of equal padded width. In each round every row of a matrix merges its leftmost
-pair of minimum rank, found through a hash table of all pairs that some token joins; rows are compacted by one place,
-and rows without such a pair leave. Pieces longer than ``LONG`` bytes go through a heap of pairs with the same rule
-instead, as a matrix row costs the square of its length.
+The pattern's matches are encoded apart. A match that is a token is done; the other distinct ones that a worker has not
+met yet are put into matrices of equal padded width. In each round every row of a matrix merges its leftmost pair of
+minimum rank, found through a hash table of all pairs that some token joins; rows are compacted by one place, and rows
+without such a pair leave. A match longer than ``LONG`` bytes lies in a matrix of its own, row by row: each row knows its least pair, so a round
+finds the leftmost pair of minimum rank by the rows. Such a round goes on to the further places of the same pair: the
+rule takes them next, from left to right, as long as no merge makes a pair of lower rank, so the round ends with the
+first merge that makes one. Instead of compaction, joined places are linked to the next one that is left.
 
 Results for special input: a null text counts as an empty one and has no ids; texts of any length are encoded whole;
 repeated rows each give a row; an empty table gives an empty one; further columns are ignored.
@@ -13,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,7 +28,7 @@ from meshlark.llm.pieces import UnitEncoder, kept
 from meshlark.llm.scratch import pick, released
 from meshlark.llm.words import pieces_of
 
-WIDTHS = (4, 8, 16, 32, 64, 128, 256)
+WIDTHS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 LONG = WIDTHS[-1]
 NONE = np.iinfo(np.int32).max
 
@@ -127,24 +129,41 @@ class ByteBpe:
             ranks[each[has], at[has]] = fresh[1][has]
         return out, lengths
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges over a linked list, with a heap of (rank, place)."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n, token, ranks = len(ids), self.token, self.ranks
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(token[ids[i]] + token[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or ranks.get(token[ids[i]] + token[ids[j]]) != rank:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := ranks.get(token[ids[a]] + token[ids[b]])) is not None:
-                    heapq.heappush(heap, (r, a))
-        return np.array([x for x, on in zip(ids, alive, strict=True) if on], np.int32)
+    def merge_long(self, piece: np.ndarray, width: int = 512) -> np.ndarray:
+        """The merges of one sequence of ids of any length."""
+        n = len(piece)
+        size = -(-(n + 1) // width) * width
+        ids = np.full(size, -1, np.int32)  # -1 behind the end and, through place -1, before the start
+        ids[:n] = piece
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after[-1] = size - 1
+        ranks = np.full(size, NONE, np.int32)
+        ranks[: n - 1] = self.pairs.look_up(ids[: n - 1], ids[1:n])
+        rows, alive = ranks.reshape(-1, width), np.arange(size) < n
+        least = rows.min(1)
+        while (best := least.min()) < NONE:
+            row = np.flatnonzero(least == best)
+            y, x = np.nonzero(rows[row] == best)
+            at = row[y] * width + x
+            run = np.concatenate([[True], at[1:] != after[at[:-1]]])
+            place = np.arange(len(at))
+            at = at[(place - place[run][np.cumsum(run) - 1]) % 2 == 0]  # of places that overlap every second one, as from the left
+            gone = after[at]
+            left, right, joined = ids[before[at]], ids[after[gone]], np.full(len(at), best, np.int32)
+            left[1:][at[1:] == after[gone[:-1]]] = best
+            lower = np.minimum(self.pairs.look_up(left, joined), self.pairs.look_up(joined, right)) < best
+            if lower.any():
+                k = int(lower.argmax()) + 1
+                at, gone = at[:k], gone[:k]
+            ids[at] = best
+            ranks[gone], alive[gone] = NONE, False
+            after[at] = after[gone]
+            before[after[at]] = at
+            changed = np.concatenate([at, before[at][before[at] >= 0]])
+            ranks[changed] = self.pairs.look_up(ids[changed], ids[after[changed]])
+            touched = np.unique(np.concatenate([changed, gone]) // width)
+            least[touched] = rows[touched].min(1)
+        return ids[alive]
 
     def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
@@ -166,7 +185,7 @@ class ByteBpe:
                     found[i] = row[:m]
             low = width
         for i in np.flatnonzero(todo & (size > LONG)).tolist():
-            found[i] = self.merge_long(raw[i])
+            found[i] = self.merge_long(self.byte[np.frombuffer(raw[i], np.uint8)])
             sizes[i] = len(found[i])
         out = [w if (f := found[i]) is None else f for i, w in enumerate(whole)]
         return (np.concatenate([np.atleast_1d(x) for x in out]).astype(np.uint32) if out else np.zeros(0, np.uint32)), sizes

@@ -50,6 +50,20 @@ def test_byte_bpe_equals_tiktoken(documents):
     assert ids[3, len(other.encode_ordinary("again"))] == other.encode_ordinary("again")
 
 
+def test_long_pieces_equal_tiktoken():
+    rnd, ranks = random.Random(6), byte_bpe.load_ranks(RANKS)
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe, letters = byte_bpe.ByteBpe(ranks), [t.decode() for t in ranks if t.isalpha() and t.isascii()]
+    kinds = [lambda n: "".join(rnd.choice("ab") for _ in range(n)), lambda n: "a" * n, lambda n: "".join(rnd.choice(letters) for _ in range(n // 4 + 1)), lambda n: "".join(rnd.choice("éèçaÉñ中文") for _ in range(n)), lambda n: "".join(rnd.choice("acgtnesi") for _ in range(n))]
+    for i in range(400):
+        piece = kinds[i % 5](rnd.choice([2, 3, 9, 100, 700])).encode()
+        got = bpe.merge_long(bpe.byte[np.frombuffer(piece, np.uint8)], rnd.choice([4, 32, 512]))
+        assert got.tolist() == other._encode_single_piece(piece)
+    long = [kind(20_000) for kind in kinds] + [kind(900) for kind in kinds]
+    ids, sizes = bpe.encode_pieces(long)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [other._encode_single_piece(x.encode()) for x in long]
+
+
 def test_token_files(spark, documents):
     df, rows = documents
     tokenizer = Tokenizer.from_file(TOKENIZER)
