@@ -14,7 +14,6 @@ no parts and no rows; further columns are ignored; texts of any length are encod
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 import uuid
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.pieces import UnitEncoder, kept
+from meshlark.llm.pieces import kept
 from meshlark.llm.scratch import Scratch, pick, released, tasks_for
 from meshlark.llm.words import pieces_of
 
@@ -38,8 +37,6 @@ MAGIC = b"MLTOKEN1"
 HEADER = struct.Struct("<8sQQQ")
 #: Ids in one block of a separator scan.
 BLOCK_IDS = 4 << 20
-#: Distinct units whose ids a worker keeps: encoding them again costs more here than their memory.
-KEPT_UNITS = 800_000
 #: Bytes of input text for one part.
 PART_BYTES = 64 << 20
 
@@ -81,11 +78,7 @@ def mapped(path: str, kind, offset: int = 0, count: int | None = None) -> np.nda
 
 
 class LibraryEncoder:
-    """Ids that ``tokenizers`` gives whole texts.
-
-    Where the tokenizer splits by the byte-level pattern before its merges, texts go through the library in units that
-    no merge can cross, each distinct unit once for a worker (see ``pieces``). Any other tokenizer gets whole texts.
-    """
+    """Ids that ``tokenizers`` gives whole texts, some texts at once."""
 
     def __init__(self, path: str, special_as_text: bool):
         from tokenizers import Tokenizer
@@ -94,47 +87,13 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        settings = json.loads(self.tokenizer.to_str())
-        before, added = settings.get("pre_tokenizer") or {}, settings.get("added_tokens") or []
-        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(map(str.isspace, t["content"])) for t in added)
-        by_units = plain and settings.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.encode = self._encode
-        if by_units:
-            # bytes of each token: byte-level tokens have a character for a byte, added ones are plain text
-            self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
-            for token, i in self.tokenizer.get_vocab().items():
-                self.width[i] = len(token)
-            for t in added:
-                self.width[t["id"]] = len(t["content"].encode())
-            self.encode = UnitEncoder(self._encode_units, KEPT_UNITS).encode
-
-    def _encode_units(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Units that begin with a space and a word go through the library as one text; tokens' bytes tell where each ends."""
-        joined = np.array([u[:1] == " " and len(u) > 1 and not u[1].isspace() for u in units], bool)
-        sizes, parts = np.zeros(len(units), np.int64), {}
-        for at in np.array_split(np.flatnonzero(joined), max(1, int(joined.sum()) // 8192)):
-            own = [units[i] for i in at.tolist()]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in own])
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
-            sizes[at] = np.diff(cut, prepend=0)
-            if len(at):
-                parts[int(at[0])] = ids
-        other = np.flatnonzero(~joined)
-        if not len(other):
-            return (np.concatenate(list(parts.values())) if parts else np.zeros(0, np.uint32)), sizes
-        ids, sizes[other] = self._encode([units[i] for i in other.tolist()])
-        out = np.zeros(int(sizes.sum()), np.uint32)
-        rest = np.repeat(~joined, sizes)
-        out[rest] = ids
-        out[~rest] = np.concatenate(list(parts.values())) if parts else np.zeros(0, np.uint32)
-        return out, sizes
-
-    def _encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of ids of each text."""
         ids, sizes, low = [], np.zeros(len(texts), np.int64), 0
-        while low < len(texts):  # a few thousand short texts or one long text at once
+        while low < len(texts):  # a few hundred short texts or one long text at once
             high, n = low, 0
-            while high < len(texts) and high < low + 4096 and n < 1 << 16:
+            while high < len(texts) and n < 1 << 16:
                 n += len(texts[high])
                 high += 1
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False)]
