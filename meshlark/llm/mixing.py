@@ -3,8 +3,9 @@
 Documents are aggregated by the set of sources that they belong to (their pattern). Word capacity flows from patterns
 to the sources' quotas; the r-th use of a pattern's words costs the more the larger r is, so repetition is spread as
 evenly as the quotas allow. The flow over the aggregated graph is solved on the driver: its size is the number of
-distinct patterns and sources, not of documents. Documents are then selected for each pattern and source in the order
-of a seeded hash: whole copies for full rounds, and for the rest those below a hash threshold found from histograms.
+distinct patterns and sources, not of documents, and is checked before anything comes to the driver. A pattern's copies
+lie on a line, round after round, each round in the order of a seeded hash; its routes cut the line one after the other,
+so every copy belongs to the source whose quota it fills. Cuts within a round are hash thresholds, found from histograms.
 
 Results for special input: a null or empty text has size 0, so nothing is taken of it; a null source is a source of its
 own, last in order; repeated rows share a hash and are taken alike; an empty table gives no rows; further columns are
@@ -18,7 +19,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,8 @@ from meshlark.llm.words import scan
 
 #: Uses of one document at most.
 MOST_USES = 3
+#: Patterns that the flow is solved for at most; more raise an error.
+MOST_PATTERNS = 1 << 16
 #: A histogram level splits hashes into this many ranges; three levels tell 2**36 hashes apart.
 LEVEL_BITS, LEVELS = 12, 3
 
@@ -123,43 +126,66 @@ def _drawn(rows: DataFrame, seed: int) -> DataFrame:
     return out.withColumn("draw", F.xxhash64("doc_id", "text_hash", F.lit(seed)).bitwiseAND((1 << (LEVEL_BITS * LEVELS)) - 1))
 
 
+ROUTES = "pattern string, source_size long, target double, routes array<struct<source:string,from_use:int,from_draw:long,to_use:int,to_draw:long>>"
+
+
+def _routed(uses: int = MOST_USES):
+    """For each route of a document's pattern how many of the document's copies it takes."""
+
+    def copies(route):
+        on = lambda use: ((use > route["from_use"]) | ((use == route["from_use"]) & (F.col("draw") >= route["from_draw"]))) & ((use < route["to_use"]) | ((use == route["to_use"]) & (F.col("draw") < route["to_draw"])))
+        return sum((on(F.lit(use)).cast("int") for use in range(1, uses)), on(F.lit(0)).cast("int"))
+
+    taken = F.transform("routes", lambda r: F.struct(r["source"].alias("source"), F.when(F.col("size") > 0, copies(r)).otherwise(F.lit(0)).alias("copies")))
+    return F.filter(taken, lambda r: r["copies"] > 0)
+
+
 def _copies():
-    return F.when(F.col("size") > 0, F.col("whole") + (F.col("draw") < F.col("below")).cast("int")).otherwise(F.lit(0))
+    return F.aggregate("routed", F.lit(0), lambda n, r: n + r["copies"])
 
 
 def _plan(sized: DataFrame, weight_of) -> DataFrame:
-    """A row for each pattern: whole (uses of every document), below (draws under it get one more), source_size, target."""
+    """A row for each pattern: its routes, source_size, target. A route takes copies (use, draw) from one point to another."""
     spark = sized.sparkSession
-    groups = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()  # a row for each pattern
+    groups = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(groups) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources: the flow is solved on the driver")
     groups.sort(key=lambda g: g.pattern)
     names = sorted({s for g in groups for s in g.sources}, key=lambda s: (s is None, s or ""))
     size_of = {s: sum(g["size"] for g in groups if s in g.sources) for s in names}
     total = sum(g["size"] for g in groups)
     target = dict(zip(names, fill_targets([size_of[s] for s in names], weight_of(names), total), strict=True))
     flow = min_cost_flow([frozenset(g.sources) for g in groups], [g["size"] for g in groups], target)
-    routed: dict[int, int] = {}
-    for (i, _), words in flow.items():
-        routed[i] = routed.get(i, 0) + words
+    cuts: dict[int, list] = {}  # of each pattern (source, where its route ends on the line of words)
+    for (i, s), words in sorted(flow.items(), key=lambda x: (x[0][0], names.index(x[0][1]))):
+        line = cuts.setdefault(i, [])
+        line.append((s, (line[-1][1] if line else 0) + words))
+    inside = {(groups[i].pattern, k): end % groups[i]["size"] for i, line in cuts.items() for k, (_, end) in enumerate(line) if end % groups[i]["size"]}
+    below = _thresholds(sized, inside)
     plan = []
     for i, g in enumerate(groups):
-        whole, rest = divmod(routed.get(i, 0), g["size"]) if g["size"] else (0, 0)
-        plan.append((g.pattern, min(whole, MOST_USES), rest if whole < MOST_USES else 0, sum(size_of[s] for s in g.sources), float(sum(target[s] for s in g.sources))))
-    below = _thresholds(sized, {p[0]: p[2] for p in plan if p[2]})
-    return spark.createDataFrame([(*p[:2], below.get(p[0], 0), *p[3:]) for p in plan], "pattern string, whole int, below long, source_size long, target double")
+        routes, at = [], (0, 0)
+        for k, (s, end) in enumerate(cuts.get(i, [])):
+            to = (end // g["size"], below.get((g.pattern, k), 0))
+            routes.append((s, *at, *to))
+            at = to
+        plan.append((g.pattern, sum(size_of[s] for s in g.sources), float(sum(target[s] for s in g.sources)), routes))
+    return spark.createDataFrame(plan, ROUTES)
 
 
 def mix(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Decides how often each document is used.
+    """Decides how often each document is used, and for which of its sources.
 
     ``source_col`` holds a source or an array of the sources a document belongs to. ``weight_of`` gets all sources in
     code point order, null last, and returns their weights. The sources share as many words as the table has.
-    Returns doc_id, text_hash, size, sources, source_size, target (sums over the document's sources), copies, taken.
+    Returns doc_id, text_hash, size, sources, source_size, target (sums over the document's sources), routed (an array
+    of source and copies, for sources that take any), copies, taken.
     """
     scratch = Scratch(df.sparkSession, "mixing")
     sized = _drawn(pick(df, doc_id=id_col, text=text_col, source=source_col), seed)
     sized = scratch.write(sized.drop("text", "source"), "sized")
-    out = sized.join(F.broadcast(_plan(sized, weight_of)), "pattern").withColumn("copies", _copies())  # a row for each pattern, as on the driver
-    return out.select("doc_id", "text_hash", "size", "sources", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    out = sized.join(F.broadcast(_plan(sized, weight_of)), "pattern").withColumn("routed", _routed()).withColumn("copies", _copies())  # at most MOST_PATTERNS rows
+    return out.select("doc_id", "text_hash", "size", "sources", "source_size", "target", "routed", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -172,40 +198,36 @@ def repeat(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text
     flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
     at = {c: f"_in{names.index(old)}" for c, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
     drawn = _drawn(flat.select(*flat.columns, *[F.col(old).alias(c) for c, old in at.items()]), seed)
-    used = drawn.join(F.broadcast(plan), "pattern").withColumn("copies", _copies())
+    used = drawn.join(F.broadcast(plan), "pattern").withColumn("routed", _routed()).withColumn("copies", _copies())
     used = used.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).filter("_copy > 0")
     return used.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _thresholds(sized: DataFrame, rest: dict[str, int]) -> dict[str, int]:
-    """For each pattern the hash below which documents have as near ``rest`` words as whole documents allow."""
-    low, left, answer = dict.fromkeys(rest, 0), dict(rest), {}
+def _thresholds(sized: DataFrame, inside: dict[tuple[str, int], int]) -> dict[tuple[str, int], int]:
+    """For each (pattern, cut) the hash below which documents have as near the wanted words as whole documents allow."""
+    low, left, answer = dict.fromkeys(inside, 0), dict(inside), {}
     spark = sized.sparkSession
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         if not low:
             break
-        table = spark.createDataFrame(sorted(low.items()), "pattern string, low long")
+        table = spark.createDataFrame([(*key, at, left[key]) for key, at in sorted(low.items())], "pattern string, cut int, low long, left long")
         in_range = F.shiftright("draw", shift + LEVEL_BITS) == F.col("low")
-        bins = sized.join(F.broadcast(table), "pattern").filter(in_range).groupBy("pattern", F.shiftright("draw", shift).alias("bin")).agg(F.sum("size").alias("size"))
-        found: dict[str, list] = {}
-        for r in bins.collect():  # at most 2**LEVEL_BITS rows for each pattern
-            found.setdefault(r.pattern, []).append((r.bin, r["size"]))
-        for pattern in list(low):
-            at = None
-            for bin_, size in sorted(found.get(pattern, [])):
-                if size > left[pattern]:
-                    at = bin_
-                    break
-                left[pattern] -= size
-            if at is None:
-                answer[pattern] = (low.pop(pattern) + 1) << (shift + LEVEL_BITS)
-            elif level == LEVELS - 1:
-                size = dict(found[pattern])[at]
-                answer[pattern] = at + (1 if size - left[pattern] < left[pattern] else 0)
-                low.pop(pattern)
+        bins = sized.join(F.broadcast(table), "pattern").filter(in_range).groupBy("pattern", "cut", F.shiftright("draw", shift).alias("bin")).agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+        upto = F.sum("size").over(Window.partitionBy("pattern", "cut").orderBy("bin"))  # 2**LEVEL_BITS bins at most
+        over = bins.withColumn("upto", upto).filter("upto > left").groupBy("pattern", "cut").agg(F.min_by(F.struct("bin", "size", "upto"), "bin").alias("x"))
+        found = {(r.pattern, r.cut): r.x for r in over.collect()}  # a row for each cut
+        for key in list(low):
+            if key not in found:
+                answer[key] = (low.pop(key) + 1) << (shift + LEVEL_BITS)
+                continue
+            at, size, upto_ = found[key]
+            left[key] -= upto_ - size
+            if level == LEVELS - 1:
+                answer[key] = at + (1 if size - left[key] < left[key] else 0)
+                low.pop(key)
             else:
-                low[pattern] = at
+                low[key] = at
     return answer
 
 
