@@ -7,7 +7,8 @@ share the length and positional bounds hold. Equal sets are one class from the s
 once for a task, packed by target partition.
 
 Classes that meet at an n-gram are candidates. Where up to ``SMALL`` meet, all their pairs are; where more meet, first
-each with the least class, with the greatest and with its neighbour in the order of size. Once these links are
+each with the two classes that hold the fewest rarer n-grams (a text has fewer than its edited copies), with the class of
+least key and with its neighbour in the order of size. Once these links are
 verified, components are known, and only pairs that lie in different components yet are compared as well, in pairs of
 blocks that are dealt over tasks. So a large group of near copies costs a few pairs for each member, no n-gram's
 members meet in one task, and no link between components is lost. Each candidate pair passes a suffix filter (counts of
@@ -50,7 +51,7 @@ LEAST_WANTED, MOST_WANTED = 1 << 20, 1 << 27
 PART_BYTES = 32 << 20
 BLOCK = 512
 #: Members of a block of one n-gram while it has few blocks, and at most.
-GRAM_BLOCK, MOST_GRAM_BLOCK = 2048, 1 << 13
+GRAM_BLOCK, MOST_GRAM_BLOCK = 512, 1 << 13
 #: Draws of the hashes before the join gives up.
 DRAWS = 8
 
@@ -104,7 +105,7 @@ class Sets:
 
 
 def _profile(rows: DataFrame, n: int, seed: int, slots: int) -> DataFrame:
-    """Pass over all texts: (doc_id, n, key, other, ranges) for each row; rows of chunk and counts for the count table."""
+    """Pass over all texts: (doc_id, text_hash, n, key, other, ranges) for each row; rows of chunk and counts for the count table."""
 
     def run(batches):
         total = np.zeros(slots, np.int64)
@@ -113,13 +114,13 @@ def _profile(rows: DataFrame, n: int, seed: int, slots: int) -> DataFrame:
                 sets = Sets(words, n, seed)
                 total += np.bincount(sets.slots(slots), minlength=slots)
                 k = j - i
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), pa.array(sets.checks), sets.ranges(), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, k), batch.column("text_hash").slice(i, k), pa.array(sets.sizes), pa.array(sets.keys), pa.array(sets.checks), sets.ranges(), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         counts = count_rows(total, CHUNK)
         k = counts.num_rows
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()), *counts.columns], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 5, pa.nulls(k, pa.binary()), *counts.columns], names)
 
-    names = ["doc_id", "n", "key", "other", "ranges", "chunk", "counts"]
-    return rows.mapInArrow(released(run), "doc_id long, n long, key long, other long, ranges binary, chunk int, counts binary")
+    names = ["doc_id", "text_hash", "n", "key", "other", "ranges", "chunk", "counts"]
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(released(run), "doc_id long, text_hash long, n long, key long, other long, ranges binary, chunk int, counts binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -198,7 +199,8 @@ def _pairs_in_groups(key, size, place, first, percent: int) -> tuple[list[np.nda
                 add(at + i, at + j)
     for g in np.flatnonzero(counts > SMALL).tolist():
         own = np.arange(first[g], first[g + 1])
-        for hub in (own[key[own].argmin()], own[key[own].argmax()]):
+        # a class with few grams that are rarer than this one is near the text that the others are copies of
+        for hub in (*own[np.lexsort((key[own], place[own]))[:2]], own[key[own].argmin()]):
             add(np.full(len(own) - 1, hub), own[own != hub])
         add(own[:-1], own[1:])
     return left, right
@@ -414,13 +416,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
 
 
 def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and class_key (one for equal sets) for every row."""
+    """doc_id, n_shingles, component_id, class_key (one for equal sets) and text_hash (``xxhash64`` of the text) for every row."""
     scratch = Scratch(df.sparkSession, "jaccard")
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     slots = power_of_two(min(input_bytes(rows), SLOT_BYTES * MOST_SLOTS) // SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS)
     for seed in range(DRAWS):
         profile = scratch.write(_profile(rows, n, seed, slots), "profile")
-        docs = profile.filter("chunk is null").select("doc_id", "n", "key", "other", "ranges")
+        docs = profile.filter("chunk is null").select("doc_id", "text_hash", "n", "key", "other", "ranges")
         classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), (F.min("other") != F.max("other")).alias("mixed"))
         classes = scratch.write(classes, "classes")
         if classes.filter("mixed").isEmpty():
@@ -456,5 +458,5 @@ def _linked(scratch: Scratch, rows: DataFrame, profile: DataFrame, docs: DataFra
     scratch.drop(classes, met, pairs, found, members, more)
     linked = docs.filter("n > 0 and doc_id is not null").join(of_class, "key")
     alone = docs.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key")]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key"), "text_hash"]
     return linked.select(*columns).union(alone.select(*columns))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlark.llm.scratch import Scratch, pick
+from meshlark.llm.scratch import Scratch, by_place, pick, place_of
 from meshlark.llm.words import scan
 
 #: Uses of one document at most.
@@ -194,13 +194,12 @@ def repeat(df: DataFrame, weight_of, seed: int = 0, id_col: str = "doc_id", text
     rows = pick(df, doc_id=id_col, text=text_col, source=source_col)
     sized = scratch.write(_drawn(rows, seed).drop("text", "source"), "sized")
     plan = _plan(sized, weight_of)
-    names = list(df.columns)
-    flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
-    at = {c: f"_in{names.index(old)}" for c, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
+    flat = by_place(df)
+    at = {c: place_of(df, old) for c, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
     drawn = _drawn(flat.select(*flat.columns, *[F.col(old).alias(c) for c, old in at.items()]), seed)
     used = drawn.join(F.broadcast(plan), "pattern").withColumn("routed", _routed()).withColumn("copies", _copies())
     used = used.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).filter("_copy > 0")
-    return used.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)])
+    return used.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(df.columns)])
 
 
 def _thresholds(sized: DataFrame, inside: dict[tuple[str, int], int]) -> dict[tuple[str, int], int]:

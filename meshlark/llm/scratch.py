@@ -61,10 +61,13 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+        path, names = self.path(name), list(df.columns)
+        clash = len({n.lower() for n in names}) < len(names)
+        table = by_place(df) if clash else df  # a table's columns have different names
         with _setting(self.spark, CLEANUP, "true"):  # the write's shuffle files go with it: nothing reads behind the table
-            df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+            table.write.parquet(path)
+        out = self.spark.read.schema(table.schema).parquet(path)
+        out = out.toDF(*names) if clash else out
         out._scratch_path = path  # noqa: SLF001
         return out
 
@@ -107,11 +110,19 @@ def released(run):
     return wrapped
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``_in0``, ``_in1`` and so on, so that columns of clashing names do no harm."""
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The name in ``by_place(df)`` of the first column that is spelled exactly like ``name``."""
+    return f"_in{df.columns.index(name)}"
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Exactly the named columns (new name = old name), found by exact spelling so that columns of clashing names do no harm."""
-    names = list(df.columns)
-    flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
-    return flat.select(*[flat[f"_in{names.index(old)}"].alias(new) for new, old in columns.items()])
+    """Exactly the named columns (new name = old name), found by exact spelling."""
+    return by_place(df).select(*[F.col(place_of(df, old)).alias(new) for new, old in columns.items()])
 
 
 #: Catalyst's estimates above this say that it knows no size, as of tables made from local rows.

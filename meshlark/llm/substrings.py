@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlark.llm.packing import COUNTS, count_rows, pack, partition_keys, sum_counts, unpack, unzigzag, zigzag
-from meshlark.llm.scratch import Scratch, pick, released, tasks_for
+from meshlark.llm.scratch import Scratch, by_place, pick, place_of, released, tasks_for
 from meshlark.llm.words import Words, mix, scan
 
 MIN_WORDS = 50
@@ -381,11 +381,10 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words
     found = verified_repeats(_rows(df, id_col, text_col), scratch, min_words)
     scratch.free_shuffles()
     found = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
-    names = list(df.columns)
-    flat = df.toDF(*[f"_in{i}" for i in range(len(names))])
-    doc_id, text = flat[f"_in{names.index(id_col)}"].cast("long"), flat[f"_in{names.index(text_col)}"]
+    flat = by_place(df)
+    doc_id, text = flat[place_of(df, id_col)].cast("long"), flat[place_of(df, text_col)]
     joined = flat.join(found.hint("shuffle_hash"), doc_id.eqNullSafe(F.col("_id")) & (_tag(text, doc_id) == F.col("_tag")), "left")
-    return joined.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(names)], F.arrow_udf(_cut, CUT)(text, F.col("_begins"), F.col("_ends")).alias(into))
+    return joined.select(*[F.col(f"_in{i}").alias(n) for i, n in enumerate(df.columns)], F.arrow_udf(_cut, CUT)(text, F.col("_begins"), F.col("_ends")).alias(into))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

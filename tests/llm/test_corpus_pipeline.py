@@ -64,3 +64,53 @@ def test_stages(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     first, again = (sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == again and first
+
+
+def clashing(spark, rows):
+    """The columns of documents and further ones whose names clash with each other and with what operators add."""
+    extra = ["TEXT", "_score", "_cut", "Doc_ID", "component_id", "text_hash", "_in0", "_copy"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    return spark.createDataFrame([(*r[:2], "en", r[2], len(r[1] or ""), *["x"] * len(extra)) for r in rows], kinds).repartition(3)
+
+
+def odd_rows():
+    words = " ".join(f"w{i}" for i in range(120))
+    long = " ".join(f"v{i % 9973} z{i}" for i in range(300_000))
+    rows = [(1, words, "a"), (2, words, "a"), (2, words, "a"), (2, "another text of the same id", None), (None, words, "b"), (None, None, "b"), (3, None, "a"), (4, "", None), (4, "", None)]
+    return rows + [(5, f"{words} {words.replace('w', 'u')}", "b"), (6, long, "a"), (7, long, "b"), (8, "short", "b"), (8, "short", "b"), (9, f"before {words.replace('w', 'k')} {words.replace('w', 'u')}", None)]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(i, 0) for i in range(9)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = odd_rows()
+    docs = clashing(spark, rows)
+    ids = lambda df: sorted(((r[0], r[1]) for r in df.collect()), key=repr)
+    kept = stages["toxicity"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and ids(kept) == ids(docs)
+    text = {i: t for i, t, _ in rows if i is not None}
+    words = text[1]
+    single = stages["ngram_jaccard"](spark, docs, str(tmp_path))
+    want = [(1, words), (None, words), (None, None), (3, None), (4, ""), (4, ""), (2, "another text of the same id"), (5, text[5]), (6, text[6]), (8, "short"), (9, text[9])]
+    assert single.columns == docs.columns and ids(single) == sorted(want, key=repr)
+    trimmed = stages["substring_dedup"](spark, single, str(tmp_path))
+    assert trimmed.columns == docs.columns
+    found = {(r[0], r[1]): r[4] for r in trimmed.collect()}
+    u, k = words.replace("w", "u"), words.replace("w", "k")
+    assert found[5, u] == len(u) and found[9, f"before {k}"] == len(f"before {k}") and (None, "") in found and (None, None) in found and (6, text[6]) in found
+    mixed = stages["mixture"](spark, trimmed, str(tmp_path))
+    assert mixed.columns == docs.columns and max(Counter(map(tuple, mixed.collect())).values()) <= 3
+    tokens = stages["byte_bpe"](spark, docs, str(tmp_path)).collect()
+    assert len(tokens) == len(rows) and {r.n_tokens for r in tokens if r.doc_id in (3, 4)} == {0}
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, nothing, str(tmp_path))
+        assert got.collect() == [] and (name == "byte_bpe" or got.columns == docs.columns)
+
+
+def test_run_keeps_further_columns_to_the_last_stage(spark, tmp_path):
+    rows = [(i, f"text number {i} of some words", "a") for i in range(12)] + [(3, "x", None)]
+    docs = clashing(spark, rows)
+    docs.toDF(*[f"x{c}" if c in ("TEXT", "Doc_ID") else c for c in docs.columns]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= set(range(12))
