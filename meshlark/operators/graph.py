@@ -1,7 +1,13 @@
-"""Components, forests, shortest paths and PageRank as joins and aggregates repeated to a fixed point."""
+"""Components, forests, shortest paths and PageRank as joins and aggregates repeated to a fixed point.
+
+Components start from stars that each task makes of its own edges; then the number of rounds grows with the logarithm of
+their number. Null ids and repeated edges change nothing; an empty table of edges leaves every node alone.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,41 +19,89 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "w").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over edges (src, dst); labels spread and jump until none changes."""
-    folder, n = workspace(nodes.sparkSession, "graph"), 0
-    pairs = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    pairs = stage(pairs, f"{folder}/edges")
-    labels = stage(nodes.select("id", F.col("id").alias("component")).distinct(), f"{folder}/0")
-    while True:
-        near = pairs.join(labels, pairs.dst == labels.id).groupBy("src").agg(F.min("component").alias("best"))
-        spread = labels.join(near, labels.id == near.src, "left").select("id", F.least("component", F.coalesce("best", "component")).alias("component"))
-        jump = spread.select(F.col("id").alias("component"), F.col("component").alias("next"))
+def local_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (id, least id of its component in these edges), without the least ids themselves."""
+    ids, ends = np.unique(np.stack([src, dst]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while (label[ends[0]] != label[ends[1]]).any():
+        low = label[ends].min(0)
+        for side in ends:  # hook each end's label under the lower one, then follow the hooks down
+            np.minimum.at(label, label[side], low)
+        while (label != label[label]).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[other], ids[label[other]]
+
+
+def _reduced(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) of long ids replaced, task by task, by stars that join the same ids."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            src, dst = local_labels(table.column("src").to_numpy(), table.column("dst").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return edges.mapInArrow(run, "src long, dst long")
+
+
+#: A node with more than this share of a task's even part of the edges has its label broadcast; there are at most 4 such nodes a task.
+HUB_SHARE = 4
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``edges`` with the ``label`` of their src; ``labels`` has src, label and the number of src's edges."""
+    hubs = F.broadcast(labels.filter(F.col("held") > most).select("src", "label"))  # few, by the choice of ``most``
+    rest = edges.join(hubs, "src", "left_anti").join(labels.filter(F.col("held") <= most).select("src", "label").hint("merge"), "src")
+    return edges.join(hubs, "src").union(rest)
+
+
+def star_labels(edges: DataFrame) -> DataFrame:
+    """(id, component) for all ids that an edge (src, dst) of long ids joins to another one; alternating large and small stars."""
+    folder, n = workspace(edges.sparkSession, "stars"), 0
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = stage(_reduced(edges.filter("src != dst")), f"{folder}/0")
+    size, before = stars.count(), None
+    while size and before != (before := stars.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()):
+        most = max(16, 2 * before[0] // (HUB_SHARE * tasks))
+        both = stars.union(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label"), F.count("*").alias("held"))
+        large = _relabelled(both.filter("dst > src"), least, most).select(F.col("dst").alias("src"), F.col("label").alias("dst")).filter("src != dst").distinct()
         n += 1
-        new = stage(spread.join(jump, "component").select("id", F.col("next").alias("component")), f"{folder}/{n}")
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component != old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        large = stage(large, f"{folder}/{n}-large")
+        low = large.groupBy("src").agg(F.min("dst").alias("label"), F.count("*").alias("held"))
+        lower = _relabelled(large, low, most).filter("dst != label").select(F.col("dst").alias("src"), F.col("label").alias("dst"))
+        stars = stage(lower.union(low.select("src", F.col("label").alias("dst"))).distinct(), f"{folder}/{n}")
+    return stars.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least integer id reachable over edges (src, dst), for every id of ``nodes``."""
+    kind = nodes.schema["id"].dataType
+    found = star_labels(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    labelled = nodes.select("id").distinct().join(found.select(F.col("id").cast(kind).alias("id"), F.col("component").cast(kind).alias("component")), "id", "left")
+    return labelled.select("id", F.coalesce("component", "id").alias("component"))
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, w) of a minimum spanning forest: each round every component takes its least edge, ties by ids."""
-    folder, n = workspace(nodes.sparkSession, "graph"), 0
+    """Edges (src, dst, w) of a minimum spanning forest: each round every component takes its least edge, ties by ids, and contracts."""
+    folder, n = workspace(nodes.sparkSession, "forest"), 0
     ordered = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src != dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
-    ordered = stage(ordered, f"{folder}/edges")
-    chosen = stage(ordered.limit(0), f"{folder}/none")
-    while True:
-        label = components(nodes, chosen)
-        a, b = label.select(F.col("id").alias("src"), F.col("component").alias("ca")), label.select(F.col("id").alias("dst"), F.col("component").alias("cb"))
-        cross = ordered.join(a, "src").join(b, "dst").filter("ca != cb")
-        each = cross.select(F.col("ca").alias("c"), "w", "src", "dst").union(cross.select(F.col("cb").alias("c"), "w", "src", "dst"))
-        best = each.groupBy("c").agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.w").distinct()
+    cross = stage(ordered.select(F.col("src").cast("long").alias("ca"), F.col("dst").cast("long").alias("cb"), F.struct("w", "src", "dst").alias("e")), f"{folder}/0")
+    chosen = ordered.limit(0)
+    while not cross.isEmpty():
         n += 1
-        new = stage(chosen.union(best).distinct(), f"{folder}/{n}")
-        if new.count() == chosen.count():
-            return new
-        chosen = new
+        each = cross.union(cross.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "e"))
+        best = stage(each.groupBy("ca").agg(F.min_by(F.struct("cb", "e"), "e").alias("x")).select("ca", "x.cb", "x.e"), f"{folder}/{n}-best")
+        chosen = chosen.union(best.select("e.src", "e.dst", "e.w").distinct())
+        label = stage(star_labels(best.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))), f"{folder}/{n}-labels")
+        for side in ("ca", "cb"):
+            cross = cross.join(label.select(F.col("id").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+        ends = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+        cross = stage(cross.filter("ca != cb").groupBy(*ends).agg(F.min("e").alias("e")), f"{folder}/{n}")
+    return chosen
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
