@@ -51,11 +51,16 @@ def _local(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """``edges`` with the least neighbour ``m`` of their node ``a``; ``least`` holds a, m and the number ``n`` of a's edges."""
-    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", "m"))  # at most HUBS rows a task, by the choice of ``most``
-    others = least.filter(F.col("n") <= most).select("a", "m")
-    return edges.join(hubs, "a").union(edges.join(hubs.select("a"), "a", "left_anti").hint("merge").join(others, "a"))
+def hub_size(count: int, tasks: int) -> int:
+    """Rows of one key above which the key is a hub: of ``count`` rows at most ``HUBS`` keys a task are."""
+    return max(FEW, count // (HUBS * tasks))
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` joined with ``table`` (key, other columns, and the number ``n`` of the key's rows); rows of hubs stay where they are."""
+    hubs = F.broadcast(table.filter(F.col("n") > most).drop("n"))  # few rows, by the choice of ``most``
+    others = table.filter(F.col("n") <= most).drop("n")
+    return rows.join(hubs, key).union(rows.join(hubs.select(key), key, "left_anti").hint("merge").join(others, key))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -64,14 +69,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     tasks = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen, count = None, stars.count()
     while count:
-        most = max(FEW, 2 * count // (HUBS * tasks))
+        most = hub_size(2 * count, tasks)
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.filter("b > a"), least, most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = hub_join(both.filter("b > a"), least, "a", most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = scratch.write(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # every edge of large leads down; each node's other lower neighbours get its least one
-        small = _with_least(large, least, most)
+        small = hub_join(large, least, "a", most)
         down = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.write(down.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

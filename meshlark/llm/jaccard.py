@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.components import components
+from meshlark.llm.components import components, hub_join, hub_size
 from meshlark.llm.packing import count_rows, pack, partition_keys, sum_counts, unpack
 from meshlark.llm.scratch import Scratch, in_block_pairs, input_bytes, pick, released, tasks_for
 from meshlark.llm.words import Words, buffers, mix, scan
@@ -452,9 +452,12 @@ def _linked(scratch: Scratch, rows: DataFrame, profile: DataFrame, docs: DataFra
     if not more.isEmpty():
         links = links.union(verified(more))
         found = scratch.write(components(links, scratch), "components")
-    least = classes.join(found.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = classes.select("key", "doc").join(found.withColumnRenamed("node", "key"), "key", "left").join(least, "component", "left")
-    of_class = scratch.write(of_class.select("key", F.coalesce("least", "doc").alias("component_id")), "result")
+    of_linked = classes.select("key", "doc").join(found.withColumnRenamed("node", "key"), "key")
+    least = of_linked.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    most = hub_size(found.count(), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_class = hub_join(of_linked, least, "component", most).select("key", F.col("least").alias("component_id"))
+    of_class = of_class.union(classes.select("key", "doc").join(found.select(F.col("node").alias("key")), "key", "left_anti"))
+    of_class = scratch.write(of_class, "result")
     scratch.drop(classes, met, pairs, found, members, more)
     linked = docs.filter("n > 0 and doc_id is not null").join(of_class, "key")
     alone = docs.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
