@@ -172,3 +172,9 @@ def dtw_distances(df: DataFrame, key: str, order: str, value: str, reference: st
 
     distance = F.pandas_udf(each, "double")
     return arrays.crossJoin(F.broadcast(base)).select(key, F.size("xs").alias("n"), distance("xs", "ys").alias("distance"))  # one reference row
+
+
+def latest_window(rows: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
+    """Each key's rows of the last ``seconds`` up to its latest time; rows of a null time are in none."""
+    last = rows.groupBy(key).agg(F.max(time).alias("_last"))
+    return rows.join(last, key).filter(F.col(time) > F.col("_last") - F.lit(seconds)).drop("_last")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.spatial import tiled_pairs
+
 PRIME = 1000003
 #: (factor, shift) of each row's hash.
 HASHES = [(7919, 104729), (15485863, 32452843), (49979687, 67867967)]
@@ -41,3 +43,18 @@ def contained(filter_: DataFrame, probes: DataFrame, key: str, width: int) -> Da
     asked = probes.select(key, F.explode(F.array(*slots(F.col(key), width))).alias("s")).withColumn("word", F.floor(F.col("s") / 32))
     hit = F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("bigint")), (F.col("s") % 32).cast("int")).bitwiseAND(1)
     return asked.join(filter_, "word", "left").groupBy(key).agg((F.min(hit) == 1).alias("maybe"))
+
+
+def bottom_jaccard(rows: DataFrame, group: str, hashed: str, k: int) -> DataFrame:
+    """(a, b, jaccard) for pairs of groups a < b that share one of their ``k`` least hashes: the share of the union's ``k`` least that both hold.
+
+    Pairs without a common hash have the estimate 0 and are given too; groups are as few as sets, each a row of ``k`` hashes.
+    """
+    least = rows.select(F.col(group).alias("g"), F.col(hashed).alias("h")).dropna().distinct()
+    least = least.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("r") <= k)
+    sets = least.groupBy("g").agg(F.collect_list("h").alias("hashes"))
+    one, two = sets.select(F.col("g").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("g").alias("b"), F.col("hashes").alias("y"))
+    pairs = tiled_pairs(one, two, 4, "a", "b").filter(F.col("a") < F.col("b"))
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
+    both = F.array_intersect(F.array_intersect("x", "y"), union)
+    return pairs.select("a", "b", (F.size(both) / F.size(union)).alias("jaccard"))

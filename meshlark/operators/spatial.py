@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import cells
-from meshlark.session import require
+from meshlark.session import require, stage, workspace
 
 
 def box_filter(box: Mapping[str, tuple[float, float]]) -> Column:
@@ -86,6 +86,33 @@ def knn_join(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, siz
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def knn_rings(left: DataFrame, right: DataFrame, axes: Sequence[str], k: int, size: float, id_col: str = "id") -> DataFrame:
+    """(l_id, r_id, distance, rank): exactly the ``k`` nearest right points (other ids) of each left point, ties by id.
+
+    A point that finds ``k`` neighbours within the radius is done, as none can be nearer outside; the radius doubles for the
+    others until it spans all points. Fewer than ``k`` come back only where there are no more; null coordinates have none.
+    """
+    folder, rounds, out = workspace(left.sparkSession, "rings"), 0, None
+    two = right.select(F.col(id_col).alias("id"), *axes).dropna(subset=list(axes))
+    todo = left.select(F.col(id_col).alias("id"), *axes).dropna(subset=list(axes))
+    ends = two.union(todo).agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    span = sum((ends[a] or 0.0) ** 2 for a in axes) ** 0.5
+    while True:
+        rank = F.row_number().over(Window.partitionBy("l_id").orderBy("distance", "r_id"))
+        near = range_join(todo, two, axes, size, keep=F.col("l_id") != F.col("r_id")).select("l_id", "r_id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k)
+        rounds += 1
+        near = stage(near, f"{folder}/{rounds}")
+        if size > span:
+            return near if out is None else out.union(near)
+        done = near.filter(F.col("rank") == k).select(F.col("l_id").alias("id"))
+        found = near.join(done.withColumnRenamed("id", "l_id"), "l_id", "left_semi")
+        out = found if out is None else out.union(found)
+        todo = stage(todo.join(done, "id", "left_anti"), f"{folder}/{rounds}-left")
+        if todo.isEmpty():
+            return out
+        size *= 2
+
+
 def tiled_pairs(left: DataFrame, right: DataFrame, tiles: int, left_id: str, right_id: str) -> DataFrame:
     """Every pair of two tables by blocks: an equi-join on tiles instead of a broadcast, for stated all-pairs sums."""
     one = left.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("_own", F.pmod(F.xxhash64(left_id), F.lit(tiles)))

@@ -90,13 +90,12 @@ def range_join_two_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT c_custkey AS id, c_acctbal / 10.0 AS x, c_nationkey * 2.0 AS y FROM customer),
-d AS (SELECT a.id AS l_id, b.id AS r_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM p a JOIN p b ON a.id <> b.id
-  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 8.0 * 8.0)
+d AS (SELECT a.id AS l_id, b.id AS r_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM p a JOIN p b ON a.id <> b.id)
 SELECT l_id, r_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY distance, r_id) AS rank FROM d) WHERE rank <= 4""")
 def knn_grid(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10.0).alias("x"), (F.col("c_nationkey") * 2.0).alias("y"))
-    return spatial.knn_join(p, p, ["x", "y"], 4, 8.0).select("l_id", "r_id", "rank", F.round("distance", 6).alias("distance"))
+    return spatial.knn_rings(p, p, ["x", "y"], 4, 8.0).select("l_id", "r_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query("""
