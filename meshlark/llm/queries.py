@@ -94,5 +94,50 @@ FROM v JOIN least ON v.r = least.r
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Sets of real shingles, their common ones counted by a join, components by walking links.
+OP3_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM g GROUP BY r
+), same AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM same JOIN n x ON x.r = a JOIN n y ON y.r = b JOIN d p ON p.r = a JOIN d q ON q.r = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c) AND p.doc_id IS NOT NULL AND q.doc_id IS NOT NULL
+), ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r, r AS s FROM d
+  UNION
+  SELECT reach.r, ways.b FROM reach JOIN ways ON reach.s = ways.a
+)
+SELECT x.doc_id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN d x ON x.r = reach.r JOIN d y ON y.r = reach.s LEFT JOIN n ON n.r = reach.r GROUP BY reach.r, x.doc_id
+"""
+
+#: Windows of real words, each with the least doc_id that it starts in; a null doc_id ranks last.
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), v AS (
+  SELECT r, k, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, k, min(k) OVER (PARTITION BY s) AS least FROM v) WHERE k > least
+), word AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d
+), mark AS (
+  SELECT word.r, word.i, x, count(hit.i) OVER (PARTITION BY word.r ORDER BY word.i ROWS 49 PRECEDING) > 0 AS gone FROM word LEFT JOIN hit ON hit.r = word.r AND hit.i = word.i
+), kept AS (
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS gone, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM mark GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vector_dedup": OP5_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op5_vector_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}

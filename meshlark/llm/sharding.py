@@ -95,16 +95,15 @@ def shard(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", tex
     scratch = Scratch(spark, "sharding")
     kind = rows.schema["doc_id"].dataType.simpleString()
     numbered = scratch.write(keys.mapInArrow(number, f"doc_id {kind}, size long, text_crc32 long, part int, own long"), "numbered")
-    bases, total = {}, 0
-    for r in sorted(numbered.groupBy("part").count().collect(), key=lambda r: r["part"]):  # a row for each range
-        bases[r["part"]] = total
-        total += r["count"]
+    sizes = np.zeros(ranges, np.int64)
+    for r in numbered.groupBy("part").count().collect():  # a row for each range
+        sizes[r["part"]] = r["count"]
+    total, bases = int(sizes.sum()), np.cumsum(sizes) - sizes
 
     def place(batches):
         feistel = Feistel(max(total, 1), seed)
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            row = np.array([bases[p] for p in part.tolist()], np.int64) + batch.column("own").to_numpy()
+            row = bases[batch.column("part").to_numpy()] + batch.column("own").to_numpy()
             at = feistel.forward(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), pa.array(row), pa.array(at), pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names)
 

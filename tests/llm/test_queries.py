@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
+import duckdb
 import pytest
 
 from meshlark.llm import queries
@@ -32,3 +36,15 @@ def test_columns_and_rows(spark, name):
     table, key = ("embeddings", "vec_id") if "vec_id" in COLUMNS[name] else ("documents", "doc_id")
     want = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     assert sorted(r[0] for r in got.select(key).collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, name):
+    database = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        database.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    cursor = database.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(cursor.fetchall())
