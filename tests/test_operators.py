@@ -212,3 +212,83 @@ def test_cohorts_of_more_sources_than_a_word(spark, tmp_path):
     assert r.sources == len(sources)
     got = similarity_queries.cohort_coverage(spark, str(tmp_path)).collect()
     assert sorted((r.source, r.coverage, r.status) for r in got) == [(i, 1.0, "full") for i in sources]
+
+
+def naive_chain(r, q, k):
+    score, back = [], []
+    for i in range(len(r)):
+        best, at = float(k), -1
+        for j in range(i):
+            if r[j] < r[i] and q[j] < q[i]:
+                new = score[j] + min(k, r[i] - r[j], q[i] - q[j]) - 0.1 * abs((r[i] - r[j]) - (q[i] - q[j]))
+                if new > best:
+                    best, at = new, j
+        score.append(best), back.append(at)
+    at = max(range(len(r)), key=lambda i: (score[i], -i))
+    best, rows = score[at], []
+    while at >= 0:
+        rows.append(at)
+        at = back[at]
+    return best, rows[::-1]
+
+
+def test_chains_look_back_to_any_anchor(monkeypatch):
+    rnd = random.Random(5)
+    for block in (3, 4096):
+        monkeypatch.setattr(sequence, "CHAIN_BLOCK", block)
+        for n in (1, 2, 40, 300):
+            rows = sorted((rnd.randrange(3 * n), rnd.randrange(3 * n)) for _ in range(n))
+            got = sequence.best_chain(pd.DataFrame(rows, columns=["ref_pos", "query_pos"]), 15)
+            want = naive_chain([x[0] for x in rows], [x[1] for x in rows], 15)
+            assert got[0] == pytest.approx(want[0]) and (block > n or got[1] == want[1] or got[0] == want[0])
+    # a good predecessor behind more than a hundred poor ones
+    rows = [(0, 0), (20, 20)] + [(30 + i, 1000 - i) for i in range(150)] + [(200, 200)]
+    assert sequence.best_chain(pd.DataFrame(rows, columns=["ref_pos", "query_pos"]), 15)[1] == [0, 1, 152]
+
+
+def test_components_of_long_paths_hubs_and_repeats(spark, monkeypatch):
+    rnd = random.Random(6)
+    nodes = list(range(-50, 650))
+    rnd.shuffle(nodes)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(299)] + [(nodes[400], nodes[i]) for i in range(401, 600)] * 2 + [(nodes[3], nodes[3]), (None, nodes[4])]
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, w double").repartition(5)
+    ids = spark.createDataFrame([(n,) for n in nodes], "id long")
+    want = {n: n for n in nodes} | dict.fromkeys(nodes[:300], min(nodes[:300])) | dict.fromkeys(nodes[400:600], min(nodes[400:600]))
+    assert {r.id: r.component for r in graph.components(ids, df).collect()} == want
+
+
+def test_packed_kmers_against_strings(spark):
+    rnd = random.Random(2)
+    seqs = ["".join(rnd.choice("ACGTN") if i % 3 else rnd.choice("ACGT") for i in range(n)) for n in (0, 2, 3, 50, 400)] + ["ACGT", None]
+    want = {}
+    for s in seqs:
+        for i in range(len(s or "") - 2):
+            kmer = s[i : i + 3]
+            if set(kmer) <= set("ACGT"):
+                kmer = min(kmer, kmer[::-1].translate(str.maketrans("ACGT", "TGCA")))
+                want[kmer] = want.get(kmer, 0) + 1
+    got = sequence.kmer_counts(spark.createDataFrame([(s,) for s in seqs], "s string").repartition(3), "s", 3).collect()
+    assert {r.kmer: r.n for r in got} == want
+
+
+def test_rings_find_all_k_neighbours(spark):
+    rows = points(40) + [(100, 500.0, 500.0, 1.0), (101, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, q double").repartition(3)
+    got = {}
+    for r in spatial.knn_rings(df, df, ["x", "y"], 5, 0.3).collect():
+        got.setdefault(r.l_id, []).append((r["rank"], r.r_id))
+    known = [r for r in rows if r[1] is not None]
+    for a in known:
+        near = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for b in known if b[0] != a[0])[:5]
+        assert [i for _, i in sorted(got[a[0]])] == [i for _, i in near]
+    assert 101 not in got and len(spatial.knn_rings(df.limit(3), df.limit(3), ["x", "y"], 5, 0.3).collect()) == 6
+
+
+def test_hierarchical_field_against_all_pairs(spark):
+    df = spark.createDataFrame(points(120)[:120] + [(500, None, 1.0, 1.0)], "id long, x double, y double, q double")
+    exact = {r.id: r for r in fields.direct_potential(df.dropna(), 0.0).collect()}
+    got = {r.id: r for r in fields.hierarchical_field(df, 3, 12).collect()}
+    assert set(got) == set(exact)
+    for c in ("phi", "ex", "ey"):
+        assert max(abs(got[i][c] - exact[i][c]) for i in exact) < 1e-3
+    assert fields.hierarchical_field(df.limit(0), 3, 4).collect() == []
