@@ -150,16 +150,17 @@ def band_power(df: DataFrame, key: str, order: str, value: str, rate: float, low
 
 
 def dtw(a: Sequence[float], b: Sequence[float]) -> float:
-    """Dynamic time warping distance with absolute differences."""
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for x in a:
-        new = np.full(len(b) + 1, np.inf)
-        for j, y in enumerate(b, 1):
-            new[j] = abs(x - y) + min(row[j], new[j - 1], row[j - 1])
-        row = new
-        row[0] = np.inf
-    return float(row[-1])
+    """Dynamic time warping distance with absolute differences, one anti-diagonal of the table at a time."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    n, m = len(a), len(b)
+    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    older[0] = 0.0
+    for k in range(2, n + m + 1):
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        new = np.full(n + 1, np.inf)
+        new[i] = np.abs(a[i - 1] - b[k - i - 1]) + np.minimum(np.minimum(old[i - 1], old[i]), older[i - 1])
+        older, old = old, new
+    return float(old[n]) if n and m else (0.0 if n == m else float("inf"))
 
 
 def dtw_distances(df: DataFrame, key: str, order: str, value: str, reference: str | int) -> DataFrame:

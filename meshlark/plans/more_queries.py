@@ -142,7 +142,9 @@ def landmark_isomap(spark: SparkSession, sf: str) -> DataFrame:
     return dense.isomap(near.union(near.select("dst", "src", "w")), p.select("id"), 2)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, ln(1 + exp(value / 100.0 - 0.5)) AS s, value AS v FROM events),
+h AS (SELECT user_id, event_id, i, s * v AS h, v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, exp(-e.s * 0.3) * h.h + e.s * e.v, e.v FROM h JOIN e ON e.user_id = h.user_id AND e.i = h.i + 1)
+SELECT user_id, event_id, round(h + 0.1 * v, 6) AS y FROM h""")
 def selective_scan(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("delta", F.col("value") / 100.0 - 0.5)
-    return dense.selective_scan(e, "user_id", "event_id", "delta", "value", 0.3, 0.1)
+    return dense.selective_scan(e, "user_id", "event_id", "delta", "value", 0.3, 0.1).withColumn("y", F.round("y", 6))

@@ -246,9 +246,14 @@ def sessionise(spark: SparkSession, sf: str) -> DataFrame:
     return series.sessions(_events(spark, sf), "user_id", "t", 43200).groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, CAST('0x' || substr(md5(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)), 1, 15) AS BIGINT) AS bits FROM events),
+g AS (SELECT user_id, frame, 'IDR' AS kind, CAST(0 AS BIGINT) AS gop, CAST(0 AS BIGINT) AS since, bits FROM f WHERE frame = 0
+UNION ALL SELECT user_id, frame, CASE WHEN cut THEN 'IDR' WHEN since % 3 <> 0 THEN 'B' ELSE 'P' END, gop + CAST(cut AS BIGINT), CASE WHEN cut THEN 0 ELSE since END, bits FROM (
+  SELECT f.user_id, f.frame, g.gop, g.since + 1 AS since, f.bits, (bit_count(xor(f.bits, g.bits)) >= 18 AND g.since + 1 >= 4) OR g.since + 1 >= 30 AS cut FROM g JOIN f ON f.user_id = g.user_id AND f.frame = g.frame + 1))
+SELECT user_id, frame, kind, gop, since FROM g""")
 def gop_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    frames = table(spark, sf, "events").withColumn("bits", F.xxhash64(F.floor("value")))
+    digest = F.md5(F.floor("value").cast("bigint").cast("string").cast("binary"))
+    frames = table(spark, sf, "events").withColumn("bits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     return series.gop_decisions(frames, "user_id", "event_id", "bits")
 
 

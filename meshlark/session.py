@@ -30,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share; it goes when the driver ends."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    root, master = spark.sparkContext.getConf().get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root:
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir names no folder that the executors of {master} share")
+        root = "file:///tmp/checkpoints"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def remove() -> None:
