@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,26 +24,36 @@ def first_difference(df: DataFrame, key: str, order: Sequence[str], value: str,
     return df.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
 
 
-def ordered_array(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """(key, steps): each key's rows as an array in order, for folds that need the step before."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("steps"))
+def one_euro(df: DataFrame, key: str, order: Sequence[str], value: str, rate: float, min_cutoff: float, beta: float, d_cutoff: float = 1.0) -> DataFrame:
+    """``df`` with a column ``h``: the speed-adaptive low-pass filter along each key's order.
 
-
-def one_euro(steps: Column, value: str, rate: float, min_cutoff: float, beta: float, d_cutoff: float = 1.0) -> Column:
-    """The speed-adaptive low-pass filter as a fold: an array of filtered values."""
-    alpha = lambda cutoff: 1.0 / (1.0 + rate / (2.0 * np.pi * cutoff))
-    ad = float(alpha(d_cutoff))
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("dx"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        x = r[value].cast("double")
-        dx = F.when(s["x"].isNull(), F.lit(0.0)).otherwise(F.lit(ad) * (x - s["x"]) * rate + F.lit(1 - ad) * s["dx"])
-        cutoff = F.lit(min_cutoff) + F.lit(beta) * F.abs(dx)
-        a = 1.0 / (1.0 + F.lit(float(rate)) / (F.lit(2.0 * np.pi) * cutoff))
-        new = F.when(s["x"].isNull(), x).otherwise(a * x + (1.0 - a) * s["x"])
-        return F.struct(new.alias("x"), dx.alias("dx"), F.concat(s["out"], F.array(new)).alias("out"))
-
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    A task goes through its sorted rows batch by batch and carries the filter's state, so no key's history is held at
+    once. A null value gives null and leaves the state as it is; an empty table gives no rows.
+    """
+    step = lambda cutoff: 1.0 / (1.0 + rate / (2.0 * np.pi * cutoff))
+    d_share = step(d_cutoff)
+
+    def run(batches):
+        last, h, d = object(), None, 0.0
+        for batch in batches:
+            out = []
+            for own, x in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if own != last:
+                    last, h, d = own, None, 0.0
+                if x is None:
+                    out.append(None)
+                    continue
+                if h is None:
+                    h = float(x)
+                else:
+                    d = d_share * (x - h) * rate + (1 - d_share) * d
+                    a = step(min_cutoff + beta * abs(d))
+                    h = a * x + (1 - a) * h
+                out.append(h)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "h"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kinds}, h double")
 
 
 #: Rungs that a bitrate is chosen from, in kbit/s.

@@ -196,9 +196,8 @@ f AS (SELECT event_id, user_id, i, x AS h, 0.0::DOUBLE AS d FROM e WHERE i = 1
 
 
 def _filtered(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("x", F.col("value") * 100)
-    arrays = series.ordered_array(e, "user_id", ["ts", "event_id"], ["x"])
-    return arrays.select("user_id", F.explode(F.arrays_zip(F.col("steps.event_id").alias("event_id"), series.one_euro(F.col("steps"), "x", 30.0, 0.2, 0.15).alias("h"))).alias("r")).select("r.event_id", "user_id", "r.h")
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", (F.col("value") * 100).alias("x"))
+    return series.one_euro(e, "user_id", ["ts", "event_id"], "x", 30.0, 0.2, 0.15).select("event_id", "user_id", "h")
 
 
 @query(ONE_EURO + " SELECT event_id, round(h, 4) AS h FROM f")
