@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.components import components, hub_join, hub_size
+from meshlark.llm.components import components, hub_join
 from meshlark.llm.packing import count_rows, pack, partition_keys, sum_counts, unpack
 from meshlark.llm.scratch import Scratch, in_block_pairs, input_bytes, pick, released, tasks_for
 from meshlark.llm.words import Words, buffers, mix, scan
@@ -49,6 +49,8 @@ LISTED = 512
 #: Bits of the map of documents whose words are fetched: eight for each class, between these bounds.
 LEAST_WANTED, MOST_WANTED = 1 << 20, 1 << 27
 PART_BYTES = 32 << 20
+#: Bytes of text that a task hashes at once, unless one text is longer.
+SCAN_BYTES = 1 << 20
 BLOCK = 512
 #: Members of a block of one n-gram while it has few blocks, and at most.
 GRAM_BLOCK, MOST_GRAM_BLOCK = 512, 1 << 13
@@ -110,7 +112,7 @@ def _profile(rows: DataFrame, n: int, seed: int, slots: int) -> DataFrame:
     def run(batches):
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            for i, j, words in scan(batch.column("text"), lower=True):
+            for i, j, words in scan(batch.column("text"), lower=True, most=SCAN_BYTES):
                 sets = Sets(words, n, seed)
                 total += np.bincount(sets.slots(slots), minlength=slots)
                 k = j - i
@@ -226,7 +228,7 @@ def _meet(rows: DataFrame, counts: np.ndarray, n: int, percent: int, seed: int)
         counts = shared.value
         for batch in batches:
             known = pa.compute.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-            for i, j, words in scan(batch.column("text"), lower=True, most=2 << 20):
+            for i, j, words in scan(batch.column("text"), lower=True, most=SCAN_BYTES):
                 blobs = _emit(words, known[i:j], seen, counts, n, percent, partitions, seed)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[[p for p, _ in blobs]] if blobs else np.zeros(0, np.int32)), pa.array([b for _, b in blobs], pa.binary())], ["part", "grams"])
 
@@ -388,7 +390,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, per
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1) if len(at) else pa.array([], pa.bool_()))
-            for _, _, words in scan(batch.column("text"), lower=True):
+            for _, _, words in scan(batch.column("text"), lower=True, most=SCAN_BYTES):
                 sets = Sets(words, n, seed)
                 fresh = np.array([k not in seen and not seen.add(k) for k in sets.keys.tolist()], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(sets.keys), _words_of(words)], ["key", "words"]).filter(pa.array(fresh))
@@ -454,8 +456,7 @@ def _linked(scratch: Scratch, rows: DataFrame, profile: DataFrame, docs: DataFra
         found = scratch.write(components(links, scratch), "components")
     of_linked = classes.select("key", "doc").join(found.withColumnRenamed("node", "key"), "key")
     least = of_linked.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-    most = hub_size(found.count(), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    of_class = hub_join(of_linked, least, "component", most).select("key", F.col("least").alias("component_id"))
+    of_class = hub_join(of_linked, least, "component", found.count()).select("key", F.col("least").alias("component_id"))
     of_class = of_class.union(classes.select("key", "doc").join(found.select(F.col("node").alias("key")), "key", "left_anti"))
     of_class = scratch.write(of_class, "result")
     scratch.drop(classes, met, pairs, found, members, more)
