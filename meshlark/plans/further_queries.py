@@ -30,8 +30,9 @@ def dct_codec(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, round(sum(exp(-d * d / 18.0) * u), 6) AS rbf, round(sum(CASE WHEN d < 6 THEN (1 - d / 6.0) ** 4 * (4 * d / 6.0 + 1) ELSE 0 END * u), 6) AS wendland, round(sum(u / (1 + d * d / 36.0)), 6) AS rational FROM d GROUP BY 1""")
 def kernel_choices(spark: SparkSession, sf: str) -> DataFrame:
     p = _field(spark, sf)
-    near = spatial.range_join(p, p, ["x", "y"], 6.0, keep=F.col("l_id") != F.col("r_id"))
-    return near.groupBy(F.col("l_id").alias("id")).agg(*[F.round(F.sum(maths.kernel(name, F.col("distance"), 6.0) * F.col("r_u")), 6).alias(name) for name in maths.KERNELS])
+    near = spatial.class_pairs(p, ["x", "y"], 6.0)
+    sums = near.groupBy("l_id").agg(*[F.round(F.sum(F.col("m") * maths.kernel(name, F.col("distance"), 6.0) * F.col("r_u")), 6).alias(name) for name in maths.KERNELS])
+    return spatial.of_members(sums, p)
 
 
 ERF_POLY = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t"
