@@ -92,9 +92,9 @@ SELECT p.id, round(greatest(0.0, 0.7 * u + 0.5 * coalesce(near, 0) - 3.0), 8) AS
 def message_passing(spark: SparkSession, sf: str) -> DataFrame:
     """One layer: own value, distance-weighted mean of the neighbours, bias, positive part."""
     p = _field(spark, sf)
-    near = spatial.range_join(p, p, ["x", "y"], 5.0, keep=F.col("l_id") != F.col("r_id"))
-    w = F.exp(-F.col("distance") * F.col("distance") / 20.0)
-    mean = near.groupBy(F.col("l_id").alias("id")).agg((F.sum(w * F.col("r_u")) / F.sum(w)).alias("near"))
+    near = spatial.class_pairs(p, ["x", "y"], 5.0)
+    w = F.col("m") * F.exp(-F.col("distance") * F.col("distance") / 20.0)
+    mean = spatial.of_members(near.groupBy("l_id").agg((F.sum(w * F.col("r_u")) / F.sum(w)).alias("near")), p)
     return p.join(mean, "id", "left").select("id", F.round(F.greatest(F.lit(0.0), 0.7 * F.col("u") + 0.5 * F.coalesce("near", F.lit(0.0)) - 3.0), 8).alias("h"))
 
 
