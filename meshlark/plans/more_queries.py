@@ -101,11 +101,11 @@ def message_passing(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {P}, m AS (SELECT a.id, avg(exp(-{D2} / 18.0)) AS c FROM p a JOIN p b ON a.id <> b.id AND {D2} <= 36.0 GROUP BY 1)
 SELECT CASE WHEN log2(c / 0.4) > 0.5 THEN 'gain' WHEN log2(c / 0.4) < -0.5 THEN 'loss' ELSE 'even' END AS tier, count(*) AS n, round(avg(c), 6) AS mean FROM m GROUP BY 1""")
 def contact_map_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    p = _field(spark, sf)
-    near = spatial.range_join(p, p, ["x", "y"], 6.0, keep=F.col("l_id") != F.col("r_id"))
-    m = near.groupBy("l_id").agg(F.avg(F.exp(-F.col("distance") * F.col("distance") / 18.0)).alias("c"))
-    ratio = F.log2(F.col("c") / 0.4)
-    return m.groupBy(F.when(ratio > 0.5, "gain").when(ratio < -0.5, "loss").otherwise("even").alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"))
+    p = _field(spark, sf).select("id", "x", "y")
+    near = spatial.class_pairs(p, ["x", "y"], 6.0)
+    m = near.groupBy("l_id", "l_n").agg((F.sum(F.col("m") * F.exp(-F.col("distance") * F.col("distance") / 18.0)) / F.sum("m")).alias("c"))
+    ratio, n = F.log2(F.col("c") / 0.4), F.sum("l_n")
+    return m.groupBy(F.when(ratio > 0.5, "gain").when(ratio < -0.5, "loss").otherwise("even").alias("tier")).agg(n.alias("n"), F.round(F.sum(F.col("c") * F.col("l_n")) / n, 6).alias("mean"))
 
 
 def _vote_step(i: int) -> str:
