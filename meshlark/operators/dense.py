@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.operators.graph import shortest_paths
 from meshlark.operators.solvers import MOST_DENSE
 
 #: Complementary letters: Watson-Crick pairs and the wobble pair, with T as U.
@@ -67,23 +66,71 @@ def biclusters(table: DataFrame, row: str, column: str, weight: str, k: int) ->
     return spark.createDataFrame([(*n, int(c)) for n, c in zip(named, label, strict=True)], "kind string, name string, cluster int")
 
 
+#: Nodes that the axes of an Isomap are fitted on, and how many of them one task searches from at once.
+LANDMARKS, SOURCES = 1024, 16
+
+
+def path_lengths(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
+    """Shortest paths from each source to all of ``n`` nodes over directed edges in ascending order of ``dst``; infinite without a path."""
+    d = np.full((len(sources), n), np.inf)
+    d[np.arange(len(sources)), sources] = 0.0
+    if not len(dst):
+        return d
+    starts = np.flatnonzero(np.diff(dst, prepend=-1))
+    ends = dst[starts]
+    while True:
+        new = np.minimum(d[:, ends], np.minimum.reduceat(d[:, src] + w, starts, axis=1))
+        if (new == d[:, ends]).all():
+            return d
+        d[:, ends] = new
+
+
 def isomap(edges: DataFrame, nodes: DataFrame, dimensions: int) -> DataFrame:
-    """(id, axis, x): classical scaling of shortest path lengths over a small neighbour graph (src, dst, w), both ways."""
-    spark = edges.sparkSession
-    ids = [r.id for r in nodes.select("id").orderBy("id").limit(MOST_DENSE + 1).collect()]
-    if len(ids) > MOST_DENSE:
-        raise ValueError(f"more than {MOST_DENSE} nodes")
-    place = {x: i for i, x in enumerate(ids)}
-    d = np.full((len(ids), len(ids)), np.nan)
-    for r in shortest_paths(edges, nodes).collect():  # at most the square of the bounded nodes
-        d[place[r.source], place[r.id]] = r.dist
-    d[np.isnan(d)] = np.nanmax(d) * 1.5 if len(ids) else 0
-    centre = np.eye(len(ids)) - 1 / max(1, len(ids))
-    values, vectors = np.linalg.eigh(-0.5 * centre @ (d**2) @ centre)
+    """(id, axis, x): scaling of shortest path lengths over a neighbour graph (src, dst, w), both ways, by landmarks.
+
+    The ``LANDMARKS`` nodes whose ids hash least, or all nodes where there are no more, are scaled classically; every node
+    is placed by its lengths to them, which for landmarks gives the same place. Nodes without a path are 1.5 times the
+    longest one away. The graph and the lengths of the landmarks among each other are on the driver.
+    """
+    spark, context = edges.sparkSession, edges.sparkSession.sparkContext
+    ids = np.sort(nodes.select(F.col("id").cast("long")).distinct().dropna().toPandas()["id"].to_numpy(np.int64))
+    marks = nodes.select("id").distinct().dropna().orderBy(F.xxhash64(F.col("id").cast("long")), "id").limit(LANDMARKS).toPandas()["id"].to_numpy(np.int64)
+    marks = np.searchsorted(ids, np.sort(marks))
+    e = edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.min("w").cast("double").alias("w")).toPandas().sort_values(["dst", "src"])
+    e = e[e["src"].isin(ids) & e["dst"].isin(ids)]
+    graph = context.broadcast((np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64)), e["w"].to_numpy(float), len(ids)))
+    groups = [marks[i : i + SOURCES] for i in range(0, len(marks), SOURCES)]
+    dealt = context.parallelize(groups, max(1, len(groups)))
+    if not groups:
+        return spark.createDataFrame([], "id long, axis int, x double")
+
+    def among(sources: np.ndarray) -> tuple[np.ndarray, float]:
+        d = path_lengths(*graph.value, sources)
+        return d[:, marks], float(d[np.isfinite(d)].max())
+
+    parts = dealt.map(among).collect()
+    far = 1.5 * max(top for _, top in parts)
+    d = np.concatenate([part for part, _ in parts])
+    d[np.isinf(d)] = far
+    square = (d**2).mean(0)
+    values, vectors = np.linalg.eigh(-0.5 * (d**2 - square - square[:, None] + square.mean()))
     top = np.argsort(-values)[:dimensions]
-    x = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
-    x *= np.sign(x[np.abs(x).argmax(0), np.arange(x.shape[1])])
-    return spark.createDataFrame([(int(n), k, float(x[i, k])) for i, n in enumerate(ids) for k in range(x.shape[1])], "id long, axis int, x double")
+    values, vectors = values[top], vectors[:, top]
+    known = vectors * np.sqrt(np.maximum(values, 0))
+    sign = np.sign(known[np.abs(known).argmax(0), np.arange(known.shape[1])])
+    # x = V' (mean of squares - squares) / 2 / sqrt(value), which needs the sum over landmarks only
+    axes = np.where(values > 1e-12 * max(1.0, float(values.max())), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0) * sign * vectors
+
+    def placed(group: tuple[int, np.ndarray]) -> np.ndarray:
+        at, sources = group
+        own = path_lengths(*graph.value, sources)
+        own[np.isinf(own)] = far
+        return -0.5 * (own**2 - square[at : at + len(sources), None]).T @ axes[at : at + len(sources)]
+
+    numbered = context.parallelize([(i * SOURCES, g) for i, g in enumerate(groups)], len(groups))
+    x = numbered.map(placed).treeReduce(np.add)
+    out = pd.DataFrame({"id": np.repeat(ids, x.shape[1]), "axis": np.tile(np.arange(x.shape[1], dtype=np.int32), len(ids)), "x": x.ravel()})
+    return spark.createDataFrame(out, "id long, axis int, x double")
 
 
 def selective_scan(df: DataFrame, key: str, order: str, delta: str, x: str, a: float, d: float) -> DataFrame:

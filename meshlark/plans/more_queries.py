@@ -138,7 +138,7 @@ def spectral_biclusters(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def landmark_isomap(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 500.0).alias("x"), (F.col("s_nationkey") * 1.0).alias("y"))
-    near = spatial.knn_join(p, p, ["x", "y"], 6, 12.0).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.col("distance").alias("w"))
+    near = spatial.knn_rings(p, p, ["x", "y"], 6, 12.0).filter("distance <= 12.0").select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.col("distance").alias("w"))
     return dense.isomap(near.union(near.select("dst", "src", "w")), p.select("id"), 2)
 
 
