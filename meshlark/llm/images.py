@@ -4,8 +4,8 @@ Corners are maxima of the Harris response over a small square, at scales a facto
 many an image has is up to its area and detail, there is no cap. A corner's orientation is the direction of the intensity
 centroid around it; its descriptor holds 128 comparisons of smoothed intensities at points turned by that orientation.
 
-Bands of descriptor bits are the tables of a Hamming join. A band is as wide as the number of features asks for, so that
-a bucket of evenly spread descriptors holds a few. In a bucket of up to ``SMALL`` features all pairs are compared; in a
+Bands of descriptor bits are the tables of a Hamming join. All bands are ``BAND`` bits wide, so the same two images are
+linked in small and large tables; in return a bucket grows with the number of features. In a bucket of up to ``SMALL`` features all pairs are compared; in a
 larger one first each feature with the bucket's least and greatest. Once these links are verified, components are known,
 and of the larger buckets all pairs of different components are compared as well, in pairs of blocks that are dealt over
 tasks. So a large group of copies costs a few comparisons a feature, and which pairs meet is up to the features alone, not
@@ -41,8 +41,8 @@ SCALES = 5
 #: A corner is the strongest within so many places up, down, left and right.
 APART = 5
 RADIUS, TURNS, BITS = 9, 32, 128
-#: Bits of a band: about a bucket for every 16 features, between these bounds.
-LEAST_BAND, MOST_BAND = 16, 32
+#: Bits of a band, whatever the number of features: which pairs meet must not be up to other images.
+BAND = 16
 #: Features of a bucket that are all compared at once, and features of a block of a larger one.
 SMALL, BLOCK = 64, 1024
 MOST_BITS = 10
@@ -177,13 +177,9 @@ def features(df: DataFrame) -> DataFrame:
     return df.select("node", "image").mapInArrow(released(run), "node long, spot int, y int, x int, scale int, turn int, high long, low long")
 
 
-def band_bits(n: int) -> int:
-    return min(MOST_BAND, max(LEAST_BAND, max(1, n).bit_length() - 4))
-
-
-def _bucketed(found: DataFrame, n: int) -> DataFrame:
+def _bucketed(found: DataFrame) -> DataFrame:
     """(bucket, node, spot, high, low) once for each band."""
-    width = band_bits(n)
+    width = BAND
     mask = (1 << width) - 1
 
     def bits(at: int):  # bits ``at`` to ``at + width`` of high and low together, from the top
@@ -386,7 +382,7 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
 
     found = scratch.write(features(images_of()), "features")
     n = found.count()
-    bucketed = _bucketed(found, n)
+    bucketed = _bucketed(found)
     tasks = tasks_for(found, FEATURE_BYTES)
     end = lambda f: f(F.struct("node", "spot", "high", "low"))
     sizes = scratch.write(bucketed.groupBy("bucket").agg(F.count("*").alias("n"), end(F.min).alias("least"), end(F.max).alias("greatest")).filter("n > 1"), "buckets")

@@ -127,3 +127,11 @@ def test_long_vectors_and_odd_ones_are_drawn():
 
     got = images.draw_vectors(pa.array([[1.0, 2.0, 3.0], None, [], [1.0, None], [float("nan"), 1.0], [2.0, 2.0], list(range(500))], pa.list_(pa.float64()))).to_pylist()
     assert [g is None for g in got] == [False, True, True, True, True, True, False] and images.from_pgm(got[6]).shape == (80, 80)
+
+
+def test_bands_do_not_depend_on_the_number_of_features(spark):
+    high, low = 0x0123456789ABCDEF, 0x0FEDCBA987654321
+    one = spark.createDataFrame([(7, 0, high, low)], "node long, spot int, high long, low long")
+    want = [(k << 16) + ((high << 64 | low) >> (112 - 16 * k) & 0xFFFF) for k in range(8)]
+    assert sorted(r.bucket for r in images._bucketed(one).collect()) == want
+    assert not hasattr(images, "band_bits")
