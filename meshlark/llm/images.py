@@ -381,7 +381,6 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
         return some.groupBy(*each).agg(F.first("image").alias("image")).join(wanted.select(*each, "node").hint("merge"), each).select("node", "image")
 
     found = scratch.write(features(images_of()), "features")
-    n = found.count()
     bucketed = _bucketed(found)
     tasks = tasks_for(found, FEATURE_BYTES)
     end = lambda f: f(F.struct("node", "spot", "high", "low"))
