@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlark.llm.components import components
-from meshlark.llm.scratch import Scratch, in_block_pairs, pick, released, tasks_for
+from meshlark.llm.scratch import Scratch, pick, released, tasks_for
 
 #: Levels of the pyramid, each smaller than the one before by the square root of two.
 SCALES = 5
@@ -44,7 +44,7 @@ RADIUS, TURNS, BITS = 9, 32, 128
 #: Bits of a band, whatever the number of features: which pairs meet must not be up to other images.
 BAND = 16
 #: Features of a bucket that are all compared at once, and features of a block of a larger one.
-SMALL, BLOCK = 64, 1024
+SMALL, BLOCK = 64, 8192
 MOST_BITS = 10
 #: Bytes of stored features for one task of the join, where each feature is there once for each band.
 FEATURE_BYTES = 512 << 10
@@ -177,8 +177,8 @@ def features(df: DataFrame) -> DataFrame:
     return df.select("node", "image").mapInArrow(released(run), "node long, spot int, y int, x int, scale int, turn int, high long, low long")
 
 
-def _bucketed(found: DataFrame) -> DataFrame:
-    """(bucket, node, spot, high, low) once for each band."""
+def _bucketed(found: DataFrame, count: int | None = None) -> DataFrame:
+    """(bucket, node, spot, high, low, and component if it is there) once for each band; a count of features changes nothing."""
     width = BAND
     mask = (1 << width) - 1
 
@@ -190,7 +190,7 @@ def _bucketed(found: DataFrame) -> DataFrame:
         return F.shiftleft("high", at + width - 64).bitwiseOR(F.shiftrightunsigned("low", 128 - at - width)).bitwiseAND(mask)
 
     buckets = F.array(*[bits(k * width) + F.lit(k << width).cast("long") for k in range(BITS // width)])
-    return found.select(F.explode(buckets).alias("bucket"), "node", "spot", "high", "low")
+    return found.select(F.explode(buckets).alias("bucket"), *[c for c in ("node", "spot", "high", "low", "component") if c in found.columns])
 
 
 PAIRS = "a_node long, a_spot int, b_node long, b_spot int"
@@ -203,7 +203,7 @@ def _pairs(node: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> p
 
 
 def _apart(high: np.ndarray, low: np.ndarray, i, j) -> np.ndarray:
-    return np.bitwise_count(high[i] ^ high[j]).astype(np.int64) + np.bitwise_count(low[i] ^ low[j])
+    return np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j])
 
 
 def _columns(batches, names: list[str]):
@@ -227,7 +227,7 @@ def _in_small(batches):
 
 
 def _in_blocks(batches):
-    """Matches of different components within pairs of blocks."""
+    """Matches of different components within pairs of blocks, those left out that share an earlier band."""
     columns = _columns(batches, ["bucket", "i", "j", "block", "node", "spot", "high", "low", "component"])
     if columns is None:
         return
@@ -240,13 +240,18 @@ def _in_blocks(batches):
         left, right = (part, part) if i[start] == j[start] else (part[block[part] == i[start]], part[block[part] == j[start]])
         for k in range(0, len(left), 256):
             x, y = left[k : k + 256, None], right[None, k if i[start] == j[start] else 0 :]
-            p, q = np.nonzero((component[x] != component[y]) & (x != y) & (_apart(high, low, x, y) <= MOST_BITS))
-            if len(p):
-                yield _pairs(node, own, x[p, 0], y[0, q])
+            p, q = np.nonzero(_apart(high, low, x, y) <= MOST_BITS)
+            p, q = x[p, 0], y[0, q]
+            on = component[p] != component[q]
+            for band in range(int(bucket[start]) >> BAND):
+                words, shift = (high, 64 - BAND - band * BAND) if band * BAND < 64 else (low, 128 - BAND - band * BAND)
+                on &= (words[p] ^ words[q]) >> np.uint64(shift) & np.uint64((1 << BAND) - 1) != 0
+            if on.any():
+                yield _pairs(node, own, p[on], q[on])
 
 
 def _first_matches(bucketed: DataFrame, sizes: DataFrame, tasks: int) -> DataFrame:
-    """Matches of all pairs in small buckets, and of larger buckets' features with the least and the greatest one."""
+    """Matches, some more than once, of all pairs in small buckets, and of larger buckets' features with the least and the greatest one."""
     small = bucketed.join(sizes.filter(F.col("n") <= SMALL).select("bucket").hint("merge"), "bucket")
     pairs = small.repartition(tasks, "bucket").mapInArrow(released(_in_small), PAIRS)
     hubs = sizes.filter(F.col("n") > SMALL).select("bucket", F.explode(F.array("least", "greatest")).alias("hub"))
@@ -254,16 +259,27 @@ def _first_matches(bucketed: DataFrame, sizes: DataFrame, tasks: int) -> DataFra
     near = met.filter(F.bit_count(F.col("high").bitwiseXOR(F.col("hub.high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("hub.low"))) <= MOST_BITS)
     one, two = F.struct("node", "spot"), F.struct(F.col("hub.node").alias("node"), F.col("hub.spot").alias("spot"))
     ordered = near.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    return pairs.union(ordered.select("a.node", "a.spot", "b.node", "b.spot")).distinct()
+    return pairs.union(ordered.select("a.node", "a.spot", "b.node", "b.spot"))
 
 
-def _further_matches(bucketed: DataFrame, sizes: DataFrame, group: DataFrame, tasks: int) -> DataFrame:
-    """Matches of larger buckets between features of different components."""
-    large = bucketed.join(sizes.filter(F.col("n") > SMALL).select("bucket").hint("merge"), "bucket")
-    large = large.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = large.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("bucket")
-    dealt = in_block_pairs(large.join(mixed.hint("merge"), "bucket"), ["bucket"], "node", BLOCK, 8 * BLOCK).withColumnRenamed("own", "block")
-    return dealt.repartition(tasks, "bucket", "i", "j").mapInArrow(released(_in_blocks), PAIRS).distinct()
+def _grouped(features: DataFrame, group: DataFrame) -> DataFrame:
+    return features.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _further_matches(bucketed: DataFrame, sizes: DataFrame, group: DataFrame | None, tasks: int) -> DataFrame:
+    """Matches of larger buckets between features of different components, but those whose first shared band's bucket is small.
+
+    Best features have their component before they go to buckets, and no ``group``. Which buckets are wanted, and in how
+    many blocks, is known from counts, so a feature is shuffled once for each bucket, and again only for pairs of blocks.
+    """
+    if group is not None:
+        bucketed = _grouped(bucketed, group)
+    mixed = bucketed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("bucket")
+    blocks = sizes.filter(F.col("n") > SMALL).join(mixed, "bucket").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = bucketed.join(F.broadcast(blocks), "bucket")  # at most a row for each value of each band: 2 ** 19
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return dealt.repartition(tasks, "bucket", "i", "j").mapInArrow(released(_in_blocks), PAIRS)
 
 
 def agreeing(m: np.ndarray) -> np.ndarray:
@@ -330,7 +346,8 @@ def _correlation(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _consensus(matches: DataFrame, found: DataFrame, images_of, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of images whose matches agree and whose pixels correlate."""
+    """Links (a, b) of images whose matches agree and whose pixels correlate; a match may be there once for each band."""
+    matches = matches.repartition("a_node", "b_node").distinct()  # shuffled once for the match, the count and the join
     enough = matches.groupBy("a_node", "b_node").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_MATCHES).select("a_node", "b_node")
     pairs = matches.join(enough.hint("merge"), ["a_node", "b_node"])
     side = lambda s: found.select(F.col("node").alias(f"{s}_node"), F.col("spot").alias(f"{s}_spot"), *[F.col(c).alias(f"{s}_{c}") for c in ("y", "x", "scale", "turn")])
@@ -385,9 +402,14 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
     tasks = tasks_for(found, FEATURE_BYTES)
     end = lambda f: f(F.struct("node", "spot", "high", "low"))
     sizes = scratch.write(bucketed.groupBy("bucket").agg(F.count("*").alias("n"), end(F.min).alias("least"), end(F.max).alias("greatest")).filter("n > 1"), "buckets")
-    links = scratch.write(_consensus(scratch.write(_first_matches(bucketed, sizes, tasks), "matches"), found, images_of, scratch), "links")
+    first = scratch.write(_first_matches(bucketed, sizes, tasks), "matches")
+    links = scratch.write(_consensus(first, found, images_of, scratch), "links")
     group = scratch.write(components(links, scratch), "components")
-    more = scratch.write(_consensus(scratch.write(_further_matches(bucketed, sizes, group, tasks), "matches"), found, images_of, scratch), "links")
+    own = scratch.write(_grouped(found.select("node", "spot", "high", "low"), group), "grouped")
+    further = scratch.write(_further_matches(_bucketed(own), sizes, None, tasks), "matches")
+    of = lambda s: own.select(F.col("node").alias(f"{s}_node"), F.col("spot").alias(f"{s}_spot"), F.col("component").alias(s)).hint("merge")
+    apart = first.join(of("a"), ["a_node", "a_spot"]).join(of("b"), ["b_node", "b_spot"]).filter("a != b").select(*first.columns)
+    more = scratch.write(_consensus(apart.union(further), found, images_of, scratch), "links")
     if not more.isEmpty():
         group = scratch.write(components(links.union(more), scratch), "components")
     of_node = classes.select("node", "hash", "digest", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))

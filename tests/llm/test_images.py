@@ -135,3 +135,29 @@ def test_bands_do_not_depend_on_the_number_of_features(spark):
     want = [(k << 16) + ((high << 64 | low) >> (112 - 16 * k) & 0xFFFF) for k in range(8)]
     assert sorted(r.bucket for r in images._bucketed(one).collect()) == want
     assert not hasattr(images, "band_bits")
+
+
+def test_features_of_large_buckets_are_shuffled_once(spark):
+    rng = np.random.default_rng(5)
+    n, values = 2000, rng.integers(0, 1 << 16, (8, 4))
+    bands = np.take_along_axis(values, rng.integers(0, 4, (8, n)), 1).astype(np.uint64)  # buckets of some 500 features
+    high, low = ((w[0] << np.uint64(48) | w[1] << np.uint64(32) | w[2] << np.uint64(16) | w[3]).view(np.int64) for w in (bands[:4], bands[4:]))
+    found = spark.createDataFrame([(i, 0, int(a), int(b)) for i, (a, b) in enumerate(zip(high, low, strict=True))], "node long, spot int, high long, low long")
+    component = np.where(np.arange(n) < 1000, np.arange(n) // 2 * 2, np.arange(n))
+    group = spark.createDataFrame([(i, int(c)) for i, c in enumerate(component[:1000])], "node long, component long")
+    i, j = np.nonzero(np.triu(images._apart(high.view(np.uint64), low.view(np.uint64), np.arange(n)[:, None], np.arange(n)[None, :]) <= images.MOST_BITS, 1))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if component[a] != component[b]}
+    sizes = spark.createDataFrame([(int(k << 16 | v), int(m)) for k in range(8) for v, m in zip(*np.unique(bands[k], return_counts=True), strict=True)], "bucket long, n long")
+    before = shuffled_rows(spark)
+    got = images._further_matches(images._bucketed(images._grouped(found, group)), sizes, None, 4).collect()
+    assert {(r.a_node, r.b_node) for r in got} == want and len(want) > 500
+    assert shuffled_rows(spark) - before < 30_000  # each feature once for each of eight bands, and twice for its component
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written for shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = context._gateway
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
