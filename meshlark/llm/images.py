@@ -7,9 +7,11 @@ centroid around it; its descriptor holds 128 comparisons of smoothed intensities
 Bands of descriptor bits are the tables of a Hamming join. All bands are ``BAND`` bits wide, so the same two images are
 linked in small and large tables; in return a bucket grows with the number of features. In a bucket of up to ``SMALL`` features all pairs are compared; in a
 larger one first each feature with the bucket's least and greatest. Once these links are verified, components are known,
-and of the larger buckets all pairs of different components are compared as well, in pairs of blocks that are dealt over
-tasks. So a large group of copies costs a few comparisons a feature, and which pairs meet is up to the features alone, not
-to the number of partitions. Pairs within ``MOST_BITS`` bits are matches: pairs that differ in fewer bits than there are
+and in all buckets all pairs of different components are compared as well. For that, images are dealt to blocks, and each
+pair of blocks (a tile) is one task's work: nearly all matches are single ones of unlike images, whose number grows with the square
+of the table, and where two images meet with all their features those with fewer than ``LEAST_MATCHES`` are told at once and make
+no rows. Comparisons still grow with that square, as do rows of tiles once blocks are full (``MOST_BLOCK``).
+Which pairs meet is up to the features alone, not to blocks or partitions. Pairs within ``MOST_BITS`` bits are matches: pairs that differ in fewer bits than there are
 bands are always found, others by the chance that one of the bands is equal.
 
 Of two images with enough matches a turn, scaling and shift is sought that several matches agree on; it is fitted to
@@ -43,8 +45,12 @@ APART = 5
 RADIUS, TURNS, BITS = 9, 32, 128
 #: Bits of a band, whatever the number of features: which pairs meet must not be up to other images.
 BAND = 16
-#: Features of a bucket that are all compared at once, and features of a block of a larger one.
-SMALL, BLOCK = 64, 8192
+#: Features of a bucket that are all compared at once.
+SMALL = 64
+#: Images are dealt to as many blocks as there are such numbers of features, up to ``BLOCKS``, and to more only where a block would hold too many.
+BLOCK, BLOCKS, MOST_BLOCK = 8192, 8, 1 << 19
+#: Pairs of features from which on those of a word are compared by themselves, pairs compared at once, and matches held at once.
+DENSE, AT_ONCE, MOST_MATCHES = 512, 1 << 16, 1 << 22
 MOST_BITS = 10
 #: Bytes of stored features for one task of the join, where each feature is there once for each band.
 FEATURE_BYTES = 512 << 10
@@ -226,28 +232,98 @@ def _in_small(batches):
         step += 1
 
 
-def _in_blocks(batches):
-    """Matches of different components within pairs of blocks, those left out that share an earlier band."""
-    columns = _columns(batches, ["bucket", "i", "j", "block", "node", "spot", "high", "low", "component"])
-    if columns is None:
-        return
-    order = np.lexsort(columns[2::-1])
-    bucket, i, j, block, node, own, high, low, component = (c[order] for c in columns)
-    high, low = high.view(np.uint64), low.view(np.uint64)
-    cut = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(bucket)]
-    for start, stop in zip(cut[:-1], cut[1:], strict=True):
-        part = np.arange(start, stop)
-        left, right = (part, part) if i[start] == j[start] else (part[block[part] == i[start]], part[block[part] == j[start]])
-        for k in range(0, len(left), 256):
-            x, y = left[k : k + 256, None], right[None, k if i[start] == j[start] else 0 :]
-            p, q = np.nonzero(_apart(high, low, x, y) <= MOST_BITS)
-            p, q = x[p, 0], y[0, q]
-            on = component[p] != component[q]
-            for band in range(int(bucket[start]) >> BAND):
-                words, shift = (high, 64 - BAND - band * BAND) if band * BAND < 64 else (low, 128 - BAND - band * BAND)
-                on &= (words[p] ^ words[q]) >> np.uint64(shift) & np.uint64((1 << BAND) - 1) != 0
-            if on.any():
-                yield _pairs(node, own, p[on], q[on])
+def _tiles(batches, names: list[str]):
+    """The columns of one tile (i, j) after the other, from batches sorted by tile."""
+    held, last = [], None
+    for batch in batches:
+        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+        cut = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cut[:-1], cut[1:], strict=True):
+            if stop > start:
+                if held and (i[start], j[start]) != last:
+                    yield *last, _columns(held, names)
+                    held = []
+                last = (i[start], j[start])
+                held.append(batch.slice(start, stop - start))
+    if held:
+        yield *last, _columns(held, names)
+
+
+def _met(order: tuple, against: tuple, high: np.ndarray, low: np.ndarray):
+    """Pairs (p, q) within ``MOST_BITS`` bits, of features (words, numbers) sorted by a band's word that is the same for both."""
+    (word, p), (words, q) = order, against
+    low_end, high_end = np.searchsorted(words, word, "left"), np.searchsorted(words, word, "right")
+    cut = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]])
+    size = np.diff(cut) * (high_end - low_end)[cut[:-1]]
+    for g in np.flatnonzero(size >= DENSE).tolist():  # word by word
+        x, y = p[cut[g] : cut[g + 1]], q[low_end[cut[g]] : high_end[cut[g]]]
+        step = max(1, AT_ONCE // len(y))
+        for k in range(0, len(x), step):
+            i, j = np.divmod(np.flatnonzero(_apart(high, low, x[k : k + step, None], y[None, :]) <= MOST_BITS), len(y))
+            yield x[i + k], y[j]
+    few = np.repeat(size < DENSE, np.diff(cut))  # words of few pairs together
+    x, begin, n = p[few], low_end[few], (high_end - low_end)[few]
+    before, k = np.cumsum(n) - n, 0
+    while k < len(x):
+        stop = max(k + 1, int(np.searchsorted(before, before[k] + AT_ONCE)))
+        i, m = np.repeat(x[k:stop], n[k:stop]), n[k:stop]
+        j = q[np.arange(len(i)) + np.repeat(begin[k:stop] - before[k:stop] + before[k], m)]
+        on = _apart(high, low, i, j) <= MOST_BITS
+        yield i[on], j[on]
+        k = stop
+
+
+def _in_tile(left: slice, right: slice, node: np.ndarray, high: np.ndarray, low: np.ndarray, component: np.ndarray, least: int):
+    """Matches (p, q) of different components, each once, of the images of ``left`` and ``right`` that have ``least`` or more.
+
+    Rows are sorted by node. All matches of some images are held until they are counted; where these are too many, the images are halved.
+    """
+    bands = [((high if at < 64 else low) >> np.uint64(64 - BAND - at % 64)).astype(np.uint16) for at in range(0, BITS, BAND)]
+    sort = lambda band, rows: (band[rows][by := np.argsort(band[rows], kind="stable")], by + rows.start)
+    against = [sort(band, right) for band in bands]
+    image = np.concatenate([[0], np.cumsum(node[1:] != node[:-1])])
+    starts = np.append(np.unique(image[left], return_index=True)[1] + left.start, left.stop)
+    todo = [(0, len(starts) - 1)]
+    while todo:
+        first, last = todo.pop()
+        found, total = [(np.zeros(0, np.int64),) * 2], 0
+        for k, band in enumerate(bands):
+            for p, q in _met(sort(band, slice(int(starts[first]), int(starts[last]))), against[k], high, low):
+                on = component[p] != component[q]
+                if left == right:
+                    on &= node[p] < node[q]
+                for earlier in bands[:k]:
+                    on &= earlier[p] != earlier[q]
+                found.append((p[on], q[on]))
+                total += len(found[-1][0])
+                if total > MOST_MATCHES and last - first > 1:
+                    break
+            else:
+                continue
+            break
+        if total > MOST_MATCHES and last - first > 1:
+            todo += [(first, (first + last) // 2), ((first + last) // 2, last)]
+            continue
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        if least > 1:
+            _, of, n = np.unique(image[p] * (image[-1] + 1) + image[q], return_inverse=True, return_counts=True)
+            p, q = p[n[of] >= least], q[n[of] >= least]
+        if len(p):
+            yield p, q
+
+
+def _in_tiles(least: int):
+    def run(batches):
+        for i, j, columns in _tiles(batches, ["block", "node", "spot", "high", "low", "component"]):
+            order = np.lexsort((columns[1], columns[0]))
+            block, node, own, high, low, component = (c[order] for c in columns)
+            high, low, border = high.view(np.uint64), low.view(np.uint64), int(np.searchsorted(block, i, "right"))
+            left, right = slice(0, border), slice(0, border) if i == j else slice(border, len(block))
+            if left.stop and right.stop > right.start:
+                for p, q in _in_tile(left, right, node, high, low, component, least):
+                    yield _pairs(node, own, p, q)
+
+    return run
 
 
 def _first_matches(bucketed: DataFrame, sizes: DataFrame, tasks: int) -> DataFrame:
@@ -266,20 +342,24 @@ def _grouped(features: DataFrame, group: DataFrame) -> DataFrame:
     return features.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _further_matches(bucketed: DataFrame, sizes: DataFrame, group: DataFrame | None, tasks: int) -> DataFrame:
-    """Matches of larger buckets between features of different components, but those whose first shared band's bucket is small.
+def _further_matches(found: DataFrame, sizes: DataFrame | None, group: DataFrame | None, tasks: int, least: int = 1) -> DataFrame:
+    """Matches between features of different components, each once, of images that have ``least`` or more of them.
 
-    Best features have their component before they go to buckets, and no ``group``. Which buckets are wanted, and in how
-    many blocks, is known from counts, so a feature is shuffled once for each bucket, and again only for pairs of blocks.
+    Features (or buckets with all their features; their ``sizes`` are of no matter) have their component, or ``group`` has it.
+    Images are dealt to blocks, and a feature is shuffled once for each block, whatever the number of its matches: two images
+    meet in one tile with all their features, so matches are counted there, and those of images with too few go no further.
     """
+    if "bucket" in found.columns:
+        found = found.filter(F.col("bucket") < 1 << BAND).drop("bucket")  # a feature is once in each band, so the first has all
     if group is not None:
-        bucketed = _grouped(bucketed, group)
-    mixed = bucketed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("bucket")
-    blocks = sizes.filter(F.col("n") > SMALL).join(mixed, "bucket").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = bucketed.join(F.broadcast(blocks), "bucket")  # at most a row for each value of each band: 2 ** 19
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
-    return dealt.repartition(tasks, "bucket", "i", "j").mapInArrow(released(_in_blocks), PAIRS)
+        found = _grouped(found, group)
+    n = found.count()
+    blocks = max(1, min(-(-n // BLOCK), BLOCKS), -(-n // MOST_BLOCK))
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    tiles = dealt.repartition(max(tasks, 2 * blocks * (blocks + 1)), "i", "j").sortWithinPartitions("i", "j")
+    return tiles.mapInArrow(released(_in_tiles(least)), PAIRS)
 
 
 def agreeing(m: np.ndarray) -> np.ndarray:
@@ -406,10 +486,8 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
     links = scratch.write(_consensus(first, found, images_of, scratch), "links")
     group = scratch.write(components(links, scratch), "components")
     own = scratch.write(_grouped(found.select("node", "spot", "high", "low"), group), "grouped")
-    further = scratch.write(_further_matches(_bucketed(own), sizes, None, tasks), "matches")
-    of = lambda s: own.select(F.col("node").alias(f"{s}_node"), F.col("spot").alias(f"{s}_spot"), F.col("component").alias(s)).hint("merge")
-    apart = first.join(of("a"), ["a_node", "a_spot"]).join(of("b"), ["b_node", "b_spot"]).filter("a != b").select(*first.columns)
-    more = scratch.write(_consensus(apart.union(further), found, images_of, scratch), "links")
+    further = scratch.write(_further_matches(own, sizes, None, tasks, LEAST_MATCHES), "matches")
+    more = scratch.write(_consensus(further, found, images_of, scratch), "links")
     if not more.isEmpty():
         group = scratch.write(components(links.union(more), scratch), "components")
     of_node = classes.select("node", "hash", "digest", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -154,6 +154,34 @@ def test_features_of_large_buckets_are_shuffled_once(spark):
     assert shuffled_rows(spark) - before < 30_000  # each feature once for each of eight bands, and twice for its component
 
 
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_single_matches_of_unlike_images_make_no_rows(spark, monkeypatch, most):
+    """Of all matches between components exactly those of image pairs with enough of them, whatever the blocks and the matches held."""
+    monkeypatch.setattr(images, "BLOCK", 64)
+    monkeypatch.setattr(images, "MOST_MATCHES", most)
+    monkeypatch.setattr(images, "DENSE", 16)
+    rng = np.random.default_rng(11)
+    common = rng.integers(0, 2, (6, 128))  # looks that all images share: one match for many pairs
+    looks = rng.integers(0, 2, (40, 8, 128))  # and those of 40 groups of four images
+    rows = []
+    for node in range(160):
+        bits = [common[rng.integers(6)], *looks[node % 40]]
+        for spot, b in enumerate(bits):
+            high, low = np.packbits((b ^ (rng.random(128) < 0.02)).astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64).tolist()
+            rows.append((node, spot, high, low, node % 80))  # half of each group is one component already
+    words = lambda r: {(k, w >> s & 0xFFFF) for k, (w, s) in enumerate((x, s) for x in r[2:4] for s in (48, 32, 16, 0))}
+    of = {r[:2]: words(r) for r in rows}
+    across = {p for p in brute_pairs(rows) if of[p[:2]] & of[p[2:]] and p[0] % 80 != p[2] % 80}
+    count: dict[tuple, int] = {}
+    for a, _, b, _ in across:
+        count[a, b] = count.get((a, b), 0) + 1
+    want = {p for p in across if count[p[0], p[2]] >= 4}
+    df = spark.createDataFrame(rows, "node long, spot int, high long, low long, component long").repartition(3)
+    got = [tuple(r) for r in images._further_matches(df, None, None, 4, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 500 < len(want) < len(across) / 2
+
+
 def shuffled_rows(spark) -> int:
     """Rows that all stages so far have written for shuffles."""
     context = spark.sparkContext
