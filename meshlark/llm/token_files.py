@@ -14,12 +14,14 @@ no parts and no rows; further columns are ignored; texts of any length are encod
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Sequence
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -77,6 +79,51 @@ def mapped(path: str, kind, offset: int = 0, count: int | None = None) -> np.nda
 # ---------------------------------------------------------------- encoding with the tokenizers library
 
 
+#: How the library's ``ByteLevel`` splits a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Up to 16 words of ASCII without apostrophes, single spaces between them, that end before white space or with the text.
+STRETCH = r"(?>(?:(?> ?[!-&(-~]+)(?=\s|\z)){1,16})"
+_IN_STRETCH, _IN_ONE_PIECE = re.compile(r" ?[!-&(-~]+(?: [!-&(-~]+)* ?"), re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that ``ByteLevel`` writes for each byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def with_stretches(tokenizer: dict) -> dict | None:
+    """A tokenizer file that gives every text the same ids for less work; ``None`` if that is not certain.
+
+    ``ByteLevel`` makes an object for each word, then writes its bytes as letters. Here pieces are whole stretches of
+    words. A stretch begins and ends where ``ByteLevel`` splits too, and no token lies across a split within it, which is
+    looked up in the vocabulary; so no merge can cross one, and the merges on its sides do not change each other. Bytes
+    keep their numbers, only their names change: ASCII stands for itself and other bytes for the library's ``<0xNN>``,
+    which it takes for characters that are no token.
+    """
+    model, splits = tokenizer["model"], tokenizer["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or tokenizer["normalizer"] or (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    byte = byte_letters()
+    if not byte.keys() <= model["vocab"].keys() or not all(byte.keys() >= set(token) for token in model["vocab"]):
+        return None
+    raw = ("".join(chr(byte[letter]) for letter in token) for token in model["vocab"])
+    if any(t != " " and _IN_STRETCH.fullmatch(t) and not _IN_ONE_PIECE.fullmatch(t) for t in raw):
+        return None
+
+    def renamed(token: str) -> str:
+        return "".join(chr(b) if b < 128 else f"<0x{b:02X}>" for b in map(byte.__getitem__, token))
+
+    vocab = {renamed(token): i for token, i in model["vocab"].items()}
+    if len(vocab) < len(model["vocab"]):  # two tokens of one name, as where a token spells "<0xC3>"
+        return None
+    merges = [[renamed(x) for x in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    split = {"type": "Split", "pattern": {"Regex": f"{STRETCH}|{BYTE_LEVEL}"}, "behavior": "Isolated", "invert": False}
+    return tokenizer | {"pre_tokenizer": split, "model": model | {"vocab": vocab, "merges": merges, "byte_fallback": True}}
+
+
 class LibraryEncoder:
     """Ids that ``tokenizers`` gives whole texts, some texts at once."""
 
@@ -84,7 +131,9 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            lighter = with_stretches(json.load(f))
+        self.tokenizer = Tokenizer.from_str(json.dumps(lighter)) if lighter else Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -96,9 +145,11 @@ class LibraryEncoder:
             while high < len(texts) and n < 1 << 16:
                 n += len(texts[high])
                 high += 1
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False)]
-            sizes[low:high] = list(map(len, found))
-            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[low:high].sum())))
+            flat = array("I")
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False), low):
+                flat.fromlist(own := e.ids)
+                sizes[i] = len(own)
+            ids.append(np.array(flat, np.uint32))
             low = high
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
 

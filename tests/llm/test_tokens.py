@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import zlib
@@ -124,3 +125,47 @@ def test_empty_tables(spark):
     assert token_files.token_files(df, TOKENIZER, 2).collect() == []
     assert token_files.count_tokens(df, TOKENIZER, 50256).collect() == []
     assert byte_bpe.round_trip(df, RANKS, P.PATTERN).collect() == []
+
+
+def stretch_texts():
+    rnd = random.Random(8)
+    words = ["the", " the", "don't", "'sad", "it's", "x1y2", "3.14", "(a)", "--", "...", "caf\u00e9", "\u00e9t\u00e9", "na\u00efve,", "\u4e2d\u6587", "\u0416\u0443\u043a", "\u096b6", "1\u096b", "\u00b2", "\u201cq\u201d", "\u2014", "a\u0301", "\U0001f600", "\xa0", "\u3000", "\x85", "\x1c", "\x00", "\x7f", "<0xC3>", "\u00c3\u0120\u010a", "<|endoftext|>", "http://a.b/c?d=1", "ZZZ", "''ll"]
+    gaps = [" ", " ", " ", " ", "", "  ", "   ", "\n", "\n\n ", "\t", " \r\n"]
+    return ["".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(rnd.randint(0, 90))) for _ in range(1500)] + [chr(c) + "a b" + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_stretches_give_the_ids_of_the_file(special_as_text):
+    plain, texts = Tokenizer.from_file(TOKENIZER), stretch_texts() + [t or "" for t in odd_texts()]
+    plain.encode_special_tokens = special_as_text
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder = token_files.LibraryEncoder(TOKENIZER, special_as_text)
+    ids, sizes = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    # whole words of a stretch reach the library's model together, and each text goes to the library as it is
+    pieces = [p for p, _ in encoder.tokenizer.pre_tokenizer.pre_tokenize_str("one two (three) 4 don't caf\u00e9 five six")]
+    assert pieces == ["one two (three) 4", " don", "'t", " caf\u00e9", " five six"]
+
+
+def test_stretches_only_where_no_token_lies_across():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        file = json.load(f)
+    assert token_files.with_stretches(file) is not None
+    n = len(file["model"]["vocab"])
+    for left, right in (("a", "\u0120b"), ("a", "1"), (".", "a"), ("\u0120", "\u0120a"), ("a", "\u0120")):
+        across = file | {"model": file["model"] | {"vocab": file["model"]["vocab"] | {left + right: n}}}
+        assert (token_files.with_stretches(across) is None) == (left != "\u0120")  # doubled spaces end a stretch
+    assert token_files.with_stretches(file | {"model": file["model"] | {"dropout": 0.1}}) is None
+    assert token_files.with_stretches(file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}) is None
+    assert token_files.with_stretches(file | {"pre_tokenizer": None}) is None
+    assert token_files.with_stretches(file | {"model": file["model"] | {"vocab": file["model"]["vocab"] | {"<0xC3>": n}}}) is None
+
+
+def test_library_encoder_takes_other_files_as_they_are(tmp_path):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    plain, texts = Tokenizer.from_file(str(tmp_path / "t.json")), ["a b", "", "it's"]
+    ids, sizes = token_files.LibraryEncoder(str(tmp_path / "t.json"), False).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
