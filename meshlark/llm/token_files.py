@@ -18,6 +18,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -81,9 +82,19 @@ def mapped(path: str, kind, offset: int = 0, count: int | None = None) -> np.nda
 
 #: How the library's ``ByteLevel`` splits a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Up to 16 words of ASCII without apostrophes, single spaces between them, that end before white space or with the text.
-STRETCH = r"(?>(?:(?> ?[!-&(-~]+)(?=\s|\z)){1,16})"
-_IN_STRETCH, _IN_ONE_PIECE = re.compile(r" ?[!-&(-~]+(?: [!-&(-~]+)* ?"), re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Up to 16 words of letters and ASCII without apostrophes, single spaces between them, that end before white space or with the text.
+STRETCH = r"(?>(?:(?> ?[!-&(-~\p{L}]+)(?=\s|\z)){1,16})"
+#: Of bytes (as characters below 256): those of a stretch, where bytes from 128 on are letters'; those of one of its pieces; a character.
+_OF_STRETCH, _OF_PIECE = re.compile(r"[ !-&(-~\x80-\xff]+"), re.compile(r" |(?: ?(?:[A-Za-z\x80-\xff]+|[0-9]+|[!-&(-/:-@\[-`{-~]+))")
+_CHARACTER = re.compile(r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
+def _lies_across(token: str) -> bool:
+    """Whether a token's bytes (as characters below 256) can lie in a stretch and reach over the end of a piece in it."""
+    if _OF_PIECE.fullmatch(token) or not _OF_STRETCH.fullmatch(token) or "  " in token:
+        return False
+    found = "".join(_CHARACTER.findall(token)).encode("latin-1").decode("utf-8", "ignore")
+    return not any(unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) == "Cf" for c in found)  # as a stretch has no such character
 
 
 def byte_letters() -> dict[str, int]:
@@ -109,8 +120,7 @@ def with_stretches(tokenizer: dict) -> dict | None:
     byte = byte_letters()
     if not byte.keys() <= model["vocab"].keys() or not all(byte.keys() >= set(token) for token in model["vocab"]):
         return None
-    raw = ("".join(chr(byte[letter]) for letter in token) for token in model["vocab"])
-    if any(t != " " and _IN_STRETCH.fullmatch(t) and not _IN_ONE_PIECE.fullmatch(t) for t in raw):
+    if any(_lies_across("".join(chr(byte[letter]) for letter in token)) for token in model["vocab"]):
         return None
 
     def renamed(token: str) -> str:

@@ -144,7 +144,7 @@ def test_stretches_give_the_ids_of_the_file(special_as_text):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
     # whole words of a stretch reach the library's model together, and each text goes to the library as it is
     pieces = [p for p, _ in encoder.tokenizer.pre_tokenizer.pre_tokenize_str("one two (three) 4 don't caf\u00e9 five six")]
-    assert pieces == ["one two (three) 4", " don", "'t", " caf\u00e9", " five six"]
+    assert pieces == ["one two (three) 4", " don", "'t", " caf\u00e9 five six"]
 
 
 def test_stretches_only_where_no_token_lies_across():
@@ -152,9 +152,12 @@ def test_stretches_only_where_no_token_lies_across():
         file = json.load(f)
     assert token_files.with_stretches(file) is not None
     n = len(file["model"]["vocab"])
-    for left, right in (("a", "\u0120b"), ("a", "1"), (".", "a"), ("\u0120", "\u0120a"), ("a", "\u0120")):
-        across = file | {"model": file["model"] | {"vocab": file["model"]["vocab"] | {left + right: n}}}
-        assert (token_files.with_stretches(across) is None) == (left != "\u0120")  # doubled spaces end a stretch
+    for token in ("a\u0120b", "a1", ".a", "a\u0120", "\u00c3\u00a9.", "\u00a9\u0120", "1\u00c3", "\u0120\u00c3\u00a9\u0120a"):
+        across = file | {"model": file["model"] | {"vocab": file["model"]["vocab"] | {token: n}}}
+        assert token_files.with_stretches(across) is None, token
+    for token in ("\u0120\u0120a", "a'", "a\u00e2\u0122\u0136", "\u00c2\u0142\u0120a", "\u0120\u00c3\u00a9a\u00c3"):  # two spaces, an apostrophe, a dash and a no-break space lie in no stretch
+        other = file | {"model": file["model"] | {"vocab": file["model"]["vocab"] | {token: n}}}
+        assert token_files.with_stretches(other) is not None, token
     assert token_files.with_stretches(file | {"model": file["model"] | {"dropout": 0.1}}) is None
     assert token_files.with_stretches(file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}) is None
     assert token_files.with_stretches(file | {"pre_tokenizer": None}) is None
