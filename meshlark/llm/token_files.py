@@ -68,7 +68,7 @@ def mapped(path: str, kind, offset: int = 0, count: int | None = None) -> np.nda
     if (own := local_path(path)) is not None:
         there = (os.path.getsize(own) - offset) // np.dtype(kind).itemsize
         n = there if count is None else count
-        return np.memmap(own, kind, "r", offset, (n,)) if n else np.zeros(0, kind)
+        return np.asarray(np.memmap(own, kind, "r", offset, (n,))) if n else np.zeros(0, kind)
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
@@ -147,8 +147,8 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and the number of ids of each text."""
+    def encode(self, texts: Sequence[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of ids of each text; ``end_id`` follows each text."""
         ids, sizes, low = [], np.zeros(len(texts), np.int64), 0
         while low < len(texts):  # a few hundred short texts or one long text at once
             high, n = low, 0
@@ -157,8 +157,11 @@ class LibraryEncoder:
                 high += 1
             flat = array("I")
             for i, e in enumerate(self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False), low):
-                flat.fromlist(own := e.ids)
-                sizes[i] = len(own)
+                before = len(flat)
+                flat.fromlist(e.ids)
+                if end_id is not None:
+                    flat.append(end_id)
+                sizes[i] = len(flat) - before
             ids.append(np.array(flat, np.uint32))
             low = high
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), sizes
@@ -168,11 +171,6 @@ def library_encoder(path: str, special_as_text: bool = False) -> LibraryEncoder:
     return kept(("library", path, special_as_text), lambda: LibraryEncoder(path, special_as_text))
 
 
-def _with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum(sizes)
-    return np.insert(ids, ends, np.uint32(end_id)), sizes + 1
-
-
 class PartWriter:
     """Writes the ids of documents in their order, and the index at the end."""
 
@@ -188,7 +186,7 @@ class PartWriter:
     def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for i, j in pieces_of(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 1 << 20):
-            ids, sizes = _with_ends(*self.encoder.encode([x or "" for x in texts.slice(i, j - i).to_pylist()]), self.end_id)
+            ids, sizes = self.encoder.encode([x or "" for x in texts.slice(i, j - i).to_pylist()], self.end_id)
             self.file.write(ids.astype(self.kind).tobytes())
             self.sizes.append(sizes)
         if self.index_path:  # copied, as a slice would hold its whole batch in memory
