@@ -66,23 +66,49 @@ def biclusters(table: DataFrame, row: str, column: str, weight: str, k: int) ->
     return spark.createDataFrame([(*n, int(c)) for n, c in zip(named, label, strict=True)], "kind string, name string, cluster int")
 
 
-#: Nodes that the axes of an Isomap are fitted on, and how many of them one task searches from at once.
-LANDMARKS, SOURCES = 1024, 16
+#: Nodes that the axes of an Isomap are fitted on, and how many lengths of paths one task holds at once.
+LANDMARKS, LENGTHS = 1024, 1 << 22
 
 
-def path_lengths(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
-    """Shortest paths from each source to all of ``n`` nodes over directed edges in ascending order of ``dst``; infinite without a path."""
-    d = np.full((len(sources), n), np.inf)
-    d[np.arange(len(sources)), sources] = 0.0
-    if not len(dst):
-        return d
-    starts = np.flatnonzero(np.diff(dst, prepend=-1))
-    ends = dst[starts]
-    while True:
-        new = np.minimum(d[:, ends], np.minimum.reduceat(d[:, src] + w, starts, axis=1))
-        if (new == d[:, ends]).all():
-            return d
-        d[:, ends] = new
+def path_lengths(starts: np.ndarray, dst: np.ndarray, w: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Shortest paths from each source to all nodes over directed edges, infinite without a path; a node's edges are those from its ``starts`` on.
+
+    All sources go on together by rounds, each over the edges of nodes that came nearer in the one before. Nodes beyond a
+    limit wait until all within it are settled, so few are met again, and a round costs no more than its edges.
+    """
+    n = len(starts) - 1
+    d, last = np.full(len(sources) * n, np.inf), np.empty(len(sources) * n, np.int32)
+    now = np.arange(len(sources)) * n + sources
+    d[now] = 0.0
+    finite = w[np.isfinite(w)]
+    step = 2 * float(np.abs(finite).mean()) if len(finite) else 0.0
+    limit, later = step, []
+
+    def once(at: np.ndarray) -> np.ndarray:
+        order = np.arange(len(at), dtype=np.int32)
+        last[at] = order
+        return at[last[at] == order]
+
+    while len(now):
+        node = now % n
+        many = starts[node + 1] - starts[node]
+        edge = np.repeat(starts[node] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        to, new = np.repeat(now - node, many) + dst[edge], np.repeat(d[now], many) + w[edge]
+        nearer = new < d[to]
+        to = to[nearer]
+        np.minimum.at(d, to, new[nearer])
+        to = once(to)
+        within = d[to] <= limit
+        now = to[within]
+        later.append(to[~within])
+        if not len(now):
+            waiting = np.concatenate(later)
+            now, later = once(waiting[d[waiting] > limit]), []
+            if len(now):
+                limit = float(d[now].min()) + step
+                within = d[now] <= limit
+                now, later = now[within], [now[~within]]
+    return d.reshape(len(sources), n)
 
 
 def isomap(edges: DataFrame, nodes: DataFrame, dimensions: int) -> DataFrame:
@@ -96,16 +122,18 @@ def isomap(edges: DataFrame, nodes: DataFrame, dimensions: int) -> DataFrame:
     ids = np.sort(nodes.select(F.col("id").cast("long")).distinct().dropna().toPandas()["id"].to_numpy(np.int64))
     marks = nodes.select("id").distinct().dropna().orderBy(F.xxhash64(F.col("id").cast("long")), "id").limit(LANDMARKS).toPandas()["id"].to_numpy(np.int64)
     marks = np.searchsorted(ids, np.sort(marks))
-    e = edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.min("w").cast("double").alias("w")).toPandas().sort_values(["dst", "src"])
-    e = e[e["src"].isin(ids) & e["dst"].isin(ids)]
-    graph = context.broadcast((np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64)), e["w"].to_numpy(float), len(ids)))
-    groups = [marks[i : i + SOURCES] for i in range(0, len(marks), SOURCES)]
-    dealt = context.parallelize(groups, max(1, len(groups)))
-    if not groups:
+    if not len(marks):
         return spark.createDataFrame([], "id long, axis int, x double")
-
-    def among(sources: np.ndarray) -> tuple[np.ndarray, float]:
-        d = path_lengths(*graph.value, sources)
+    e = edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.min("w").cast("double").alias("w")).toPandas()
+    e = e[e["src"].isin(ids) & e["dst"].isin(ids)].sort_values(["src", "dst"])
+    src, dst = (np.searchsorted(ids, e[c].to_numpy(np.int64)) for c in ("src", "dst"))
+    graph = context.broadcast((np.searchsorted(src, np.arange(len(ids) + 1)), dst, e["w"].to_numpy(float)))
+    share = max(1, min(LENGTHS // len(ids), -(-len(marks) // (2 * context.defaultParallelism))))
+    groups = [(i, marks[i : i + share]) for i in range(0, len(marks), share)]
+    dealt = context.parallelize(groups, len(groups))
+
+    def among(group: tuple[int, np.ndarray]) -> tuple[np.ndarray, float]:
+        d = path_lengths(*graph.value, group[1])
         return d[:, marks], float(d[np.isfinite(d)].max())
 
     parts = dealt.map(among).collect()
@@ -127,8 +155,7 @@ def isomap(edges: DataFrame, nodes: DataFrame, dimensions: int) -> DataFrame:
         own[np.isinf(own)] = far
         return -0.5 * (own**2 - square[at : at + len(sources), None]).T @ axes[at : at + len(sources)]
 
-    numbered = context.parallelize([(i * SOURCES, g) for i, g in enumerate(groups)], len(groups))
-    x = numbered.map(placed).treeReduce(np.add)
+    x = dealt.map(placed).treeReduce(np.add)
     out = pd.DataFrame({"id": np.repeat(ids, x.shape[1]), "axis": np.tile(np.arange(x.shape[1], dtype=np.int32), len(ids)), "x": x.ravel()})
     return spark.createDataFrame(out, "id long, axis int, x double")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,39 @@ def test_isomap_places_all_nodes_by_landmarks(spark, monkeypatch):
     assert len(steps) == 59 and np.allclose(np.abs(steps), 1.0) and (np.sign(steps) == np.sign(steps[0])).all()
 
 
+def test_path_lengths_meet_edges_a_few_times_only():
+    class Counted(np.ndarray):
+        met = 0
+
+        def __getitem__(self, at):
+            Counted.met += np.size(at)
+            return np.asarray(super().__getitem__(at))
+
+    rng = np.random.default_rng(8)
+    n = 600  # a chain, where a path has hundreds of edges, with shortcuts and repeated, directed and weightless edges
+    src, dst = np.append(np.arange(n - 1), rng.integers(0, n - 50, 300)), np.append(np.arange(1, n), rng.integers(0, n - 50, 300))
+    w = np.append(rng.random(n - 1), np.where(rng.random(300) < 0.3, 0, 40 * rng.random(300)))
+    order = np.lexsort((dst, src))
+    src, dst, w, sources = src[order], dst[order], w[order], np.array([0, 5, 300, 599, 0])
+    want = np.full((5, n), np.inf)
+    want[np.arange(5), sources] = 0
+    for _ in range(n):
+        for row in want:
+            np.minimum.at(row, dst, row[src] + w)
+    got = dense.path_lengths(np.searchsorted(src, np.arange(n + 1)), dst, w.view(Counted), sources)
+    assert (got == want).all() and np.isinf(got).any()
+    assert Counted.met < 4 * len(sources) * len(w)
+
+
+def test_isomap_of_a_long_chain_ends_soon(spark, monkeypatch):
+    monkeypatch.setattr(dense, "LANDMARKS", 16)
+    n, began = 12000, time.monotonic()
+    df = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS w")
+    got = np.array(sorted((r.id, r.x) for r in dense.isomap(df.union(df.select("dst", "src", "w")), spark.range(n), 1).collect()))
+    assert np.allclose(np.abs(np.diff(got[:, 1])), 1.0) and len(got) == n
+    assert time.monotonic() - began < 30  # some 3 seconds; rounds over all edges had not ended after a minute
+
+
 def test_pagerank_sums_to_one_and_stays_near_the_seed(spark):
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (5, 6, 1.0)], "src long, dst long, w double")
     seed = spark.createDataFrame([(0, 2.0)], "id long, s double")
